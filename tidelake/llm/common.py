@@ -81,3 +81,14 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in have:
         wish = f"_{wish}"
     return wish
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with groups, which has one row per key; `size` is the number of rows that the key has.
+
+    Keys of a thousandth of all rows or more number at most a thousand: their side is broadcast and their rows stay
+    where they are. The other keys are each below that share, and shuffle.
+    """
+    least = max(1000, total // 1000)
+    heavy, light = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
+    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(light, key))

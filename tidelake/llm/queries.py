@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, packing
+from tidelake.llm import exact_dedup, ngram_join, packing
 from tidelake.llm.common import table
 
 
@@ -40,8 +40,39 @@ def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS ss
+  FROM w
+), u AS (
+  SELECT doc_id, len(ss) AS n, unnest(ss) AS s FROM g
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT g.doc_id, CAST(len(g.ss) AS BIGINT) AS n_shingles, c.component_id
+FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = g.doc_id
+"""
+
 QUERIES = {
     "op5_heavy_hitter_dedup": op5_heavy_hitter_dedup,
     "op6_hierarchical_packing": op6_hierarchical_packing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
-ORACLES = {"op5_heavy_hitter_dedup": OP5_SQL}
+ORACLES = {"op5_heavy_hitter_dedup": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL}
