@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, ngram_join, packing
+from tidelake.llm import exact_dedup, ngram_join, packing, toxicity
 from tidelake.llm.common import table
 
 
@@ -15,6 +15,22 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The fold whose labels are never learnt."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.decide(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -71,6 +87,7 @@ FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a =
 """
 
 QUERIES = {
+    "op4_compression_toxicity": op4_compression_toxicity,
     "op5_heavy_hitter_dedup": op5_heavy_hitter_dedup,
     "op6_hierarchical_packing": op6_hierarchical_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
