@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, ngram_join, packing, toxicity
+from tidelake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from tidelake.llm.common import table
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,7 +52,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, keep_id = doc_
 
 
 def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), *_vocabulary())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
 
 
@@ -86,10 +86,69 @@ SELECT g.doc_id, CAST(len(g.ss) AS BIGINT) AS n_shingles, c.component_id
 FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = g.doc_id
 """
 
+#: Powers that temper the present token shares to targets: sources halfway to equal, languages and topics nearly kept.
+MIX_POWERS = {"source": 0.5, "lang": 0.8, "topic": 0.9}
+#: Topics are length classes here, as documents carry none: under 100, 1,000, 10,000 characters, and above.
+TOPIC_EDGES = (100, 1_000, 10_000)
+
+
+def mix_columns() -> dict:
+    n = F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    topic = F.lit("t0")
+    for i, edge in enumerate(TOPIC_EDGES, 1):
+        topic = F.when(n >= edge, f"t{i}").otherwise(topic)
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+
+
+def mix_tokens():
+    """Words stand for tokens: runs of characters other than blanks."""
+    squeezed = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return F.when(squeezed == "", 0).otherwise(F.char_length(squeezed) - F.char_length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1)
+
+
+def op8_iterative_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = mixing.calibrated(docs, mix_columns(), mix_tokens(), MIX_POWERS)
+    number = mixing.uniform(F.col("doc_id"))
+    return found.select("doc_id", F.round("mix_probability", 6).alias("probability"), F.round("mix_cell_weight", 9).alias("cell_weight"), (number < F.col("mix_probability")).alias("kept"))
+
+
+def _op8_sql() -> str:
+    steps, last = [], "w0"
+    for sweep in range(mixing.SWEEPS):
+        for c in ("source", "lang", "topic"):
+            name = f"w_{sweep}_{c}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.w * t.target / sum(c.w) OVER (PARTITION BY c.{c}) AS w FROM {last} c JOIN t_{c} t ON c.{c} = t.v)")
+            last = name
+    targets = [f"t_{c} AS MATERIALIZED (SELECT v, p / sum(p) OVER () AS target FROM (SELECT {c} AS v, pow(CAST(sum(tokens) AS DOUBLE), {MIX_POWERS[c]}) AS p FROM cells GROUP BY {c} HAVING sum(tokens) > 0))" for c in ("source", "lang", "topic")]
+    a, b, c = TOPIC_EDGES
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n,
+         trim(regexp_replace(coalesce(text, ''), '[ 	-]+', ' ', 'g')) AS s
+  FROM documents
+), e AS MATERIALIZED (
+  SELECT doc_id, source, lang, CASE WHEN n >= {c} THEN 't3' WHEN n >= {b} THEN 't2' WHEN n >= {a} THEN 't1' ELSE 't0' END AS topic,
+         CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END AS tokens
+  FROM d
+), cells AS MATERIALIZED (
+  SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM e GROUP BY ALL
+), {", ".join(targets)}, w0 AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS w FROM cells WHERE tokens > 0
+), {", ".join(steps)}, p AS MATERIALIZED (
+  SELECT *, (w / tokens) / max(w / tokens) OVER () AS p FROM {last}
+)
+SELECT e.doc_id, round(CASE WHEN e.tokens > 0 THEN coalesce(p.p, 0) ELSE 0 END, 6) AS probability, round(coalesce(p.w, 0), 9) AS cell_weight,
+       CAST(CAST('0x' || substr(md5('mix:' || CAST(e.doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / {float(16**13)} < CASE WHEN e.tokens > 0 THEN coalesce(p.p, 0) ELSE 0 END AS kept
+FROM e LEFT JOIN p ON p.source = e.source AND p.lang = e.lang AND p.topic = e.topic
+"""
+
+
 QUERIES = {
+    "op8_iterative_proportional_fitting": op8_iterative_proportional_fitting,
     "op4_compression_toxicity": op4_compression_toxicity,
     "op5_heavy_hitter_dedup": op5_heavy_hitter_dedup,
     "op6_hierarchical_packing": op6_hierarchical_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
-ORACLES = {"op5_heavy_hitter_dedup": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+ORACLES = {"op5_heavy_hitter_dedup": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_iterative_proportional_fitting": _op8_sql()}
