@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from tidelake.llm import exact_dedup, html_extraction, mixing, ngram_join, packing, toxicity, warc
 from tidelake.llm.common import table
 
 
@@ -15,6 +15,27 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Pages carry no fetch time: one is made from the id, seconds after 2024-01-01 within a year.
+FIRST_FETCH, YEAR = 1_704_067_200, 31_536_000
+
+
+def fetch_seconds():
+    return F.lit(FIRST_FETCH) + (F.col("page_id") * 7919) % YEAR
+
+
+def op1_external_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.capture_history(table(spark, sf_dir, "pages"), "page_id", "url", "html", F.timestamp_seconds(fetch_seconds()))
+    return merged.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "timestamp", "range_no", "position"
+    )
+
+
+def op10_maximum_scoring_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extraction.extract_text(pages, html_extraction.fit(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """The fold whose labels are never learnt."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
@@ -125,7 +146,8 @@ def _op8_sql() -> str:
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n,
-         trim(regexp_replace(coalesce(text, ''), '[ 	-]+', ' ', 'g')) AS s
+         trim(regexp_replace(coalesce(text, ''), '[ 	-
+]+', ' ', 'g')) AS s
   FROM documents
 ), e AS MATERIALIZED (
   SELECT doc_id, source, lang, CASE WHEN n >= {c} THEN 't3' WHEN n >= {b} THEN 't2' WHEN n >= {a} THEN 't1' ELSE 't0' END AS topic,
@@ -145,6 +167,8 @@ FROM e LEFT JOIN p ON p.source = e.source AND p.lang = e.lang AND p.topic = e.to
 
 
 QUERIES = {
+    "op1_external_index_merge": op1_external_index_merge,
+    "op10_maximum_scoring_subsequence": op10_maximum_scoring_subsequence,
     "op8_iterative_proportional_fitting": op8_iterative_proportional_fitting,
     "op4_compression_toxicity": op4_compression_toxicity,
     "op5_heavy_hitter_dedup": op5_heavy_hitter_dedup,
