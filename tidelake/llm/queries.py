@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import exact_dedup, html_extraction, mixing, ngram_join, packing, toxicity, warc
-from tidelake.llm.common import table
+from tidelake.llm import audio_fingerprints, exact_dedup, html_extraction, mixing, ngram_join, packing, tool_calls, toxicity, url_lists, warc
+from tidelake.llm.common import small_batches, table
 
 
 def vocabulary() -> tuple[str, str]:
@@ -30,6 +30,123 @@ def op1_external_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed_patterns(pages: DataFrame) -> DataFrame:
+    """List entries for the hosts and domains of pages: by the first digit of the pattern's digest, some are added at
+    a time of that year, some of these are removed 30 days later, and some come back after 60."""
+    hosts = pages.select(url_lists.host(F.col("url")).alias("h")).distinct().where("h <> ''")
+    patterns = hosts.select(F.explode(F.filter(url_lists.keys_of(F.concat(F.lit("http://"), F.col("h"))), lambda k: ~k.contains("/"))).alias("pattern")).distinct()
+    digest = F.md5("pattern")
+    rows = patterns.select("pattern", F.conv(F.substring(digest, 1, 1), 16, 10).cast("int").alias("d"), (F.lit(FIRST_FETCH) + F.conv(F.substring(digest, 2, 7), 16, 10).cast("long") % YEAR).alias("t"))
+    category = F.concat(F.lit("c"), (F.col("d") % 3).cast("string")).alias("category")
+    added = rows.where("d < 9").select("pattern", category, F.col("t").alias("listed_at"), F.lit("add").alias("action"))
+    removed = rows.where("d < 6").select("pattern", category, (F.col("t") + 30 * 86400).alias("listed_at"), F.lit("remove").alias("action"))
+    again = rows.where("d < 3").select("pattern", F.lit("again").alias("category"), (F.col("t") + 60 * 86400).alias("listed_at"), F.lit("add").alias("action"))
+    return added.unionByName(removed).unionByName(again)
+
+
+def op2_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", fetch_seconds().alias("fetched_at"))
+    return url_lists.evaluate(pages, _listed_patterns(pages))
+
+
+OP2_SQL = rf"""
+WITH c AS (
+  SELECT page_id, url, {FIRST_FETCH} + (page_id * 7919) % {YEAR} AS fetched_at,
+         string_split(lower(regexp_extract(url, '{url_lists.HOST}', 1)), '.') AS labels
+  FROM pages
+), keys AS (
+  SELECT DISTINCT page_id, url, fetched_at, array_to_string(labels[i:], '.') AS pattern
+  FROM (SELECT *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM c) WHERE array_to_string(labels, '.') <> ''
+), p AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 1) AS INT) AS d, {FIRST_FETCH} + CAST('0x' || substr(md5(pattern), 2, 7) AS BIGINT) % {YEAR} AS t
+  FROM (SELECT DISTINCT pattern FROM keys)
+), entries AS (
+  SELECT pattern, 'c' || (d % 3) AS category, t AS listed_at, 'add' AS action FROM p WHERE d < 9
+  UNION ALL SELECT pattern, 'c' || (d % 3), t + {30 * 86400}, 'remove' FROM p WHERE d < 6
+  UNION ALL SELECT pattern, 'again', t + {60 * 86400}, 'add' FROM p WHERE d < 3
+), v AS (
+  SELECT *, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS valid_to FROM entries
+), hit AS (
+  SELECT k.page_id, v.pattern, v.category, v.listed_at,
+         row_number() OVER (PARTITION BY k.page_id ORDER BY length(v.pattern) DESC, v.pattern) AS n
+  FROM keys k JOIN v ON v.pattern = k.pattern AND v.action = 'add' AND k.fetched_at >= v.listed_at AND (v.valid_to IS NULL OR k.fetched_at < v.valid_to)
+)
+SELECT c.page_id, c.url, CAST(c.fetched_at AS BIGINT) AS fetched_at, hit.page_id IS NOT NULL AS blocked, hit.pattern AS matched_pattern,
+       hit.category AS matched_category, CAST(hit.listed_at AS BIGINT) AS listed_at
+FROM c LEFT JOIN hit ON hit.page_id = c.page_id AND hit.n = 1
+"""
+
+#: Conversations carry no tool calls: every user turn is made one, the turn after it its result.
+TOOLS = {
+    "search": {"text": ("string", True), "n": ("integer", True)},
+    "lookup": {"text": ("string", True), "n": ("integer", False), "deep": ("boolean", False)},
+    "compute": {"text": ("string", True), "n": ("integer", True), "note": ("string", False)},
+}
+
+
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    quoted = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    n = F.char_length("text").cast("string")
+    users = turns.where("role = 'user'")
+    calls = users.select(
+        name(F.col("turn")).alias("call_id"), "conv_id", "turn",
+        F.when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "lookup").otherwise("compute").alias("name"),
+        F.concat(F.lit('{ "text" : '), quoted, F.when(F.col("turn") % 4 == 2, F.concat(F.lit(', "n": "'), n, F.lit('"'))).otherwise(F.concat(F.lit(', "n": '), n)), F.when(F.col("turn") % 6 == 4, F.lit(', "deep": true')).otherwise(F.lit("")), F.lit(" }")).alias("arguments"),
+        F.array(name(F.col("turn") - 2)).alias("depends_on"),
+    )
+    results = turns.where("role <> 'user'").select(name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    found = tool_calls.linked_calls(calls, results, TOOLS)
+    return found.select("call_id", "conv_id", "turn", "name", "level", "result_turn", "n_results", F.array_join("faults", "; ").alias("faults"), "json")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+lv AS (
+  SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL
+  SELECT u.conv_id, u.turn, lv.level + 1 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2
+), r AS (
+  SELECT conv_id, turn - 1 AS at, min(turn) AS result_turn, count(*) AS n, arg_min(text, (turn, text)) AS content
+  FROM conversations WHERE role <> 'user' GROUP BY ALL
+), c AS (
+  SELECT u.conv_id, u.turn, 'call-' || u.conv_id || '-' || u.turn AS call_id,
+         CASE u.turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'compute' END AS name,
+         u.turn % 4 = 2 AS text_n, u.turn % 6 = 4 AS deep, to_json(u.text) AS q, length(u.text) AS n, lv.level, r.result_turn, coalesce(r.n, 0) AS n_results, r.content
+  FROM u JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn LEFT JOIN r ON r.conv_id = u.conv_id AND r.at = u.turn
+)
+SELECT call_id, conv_id, turn, name, CAST(level AS INT) AS level, result_turn, CAST(n_results AS BIGINT) AS n_results,
+       concat_ws('; ', CASE WHEN text_n THEN 'n is not integer' END, CASE WHEN deep AND name <> 'lookup' THEN 'unknown deep' END) AS faults,
+       '{"arguments":{' || CASE WHEN deep THEN '"deep":true,' ELSE '' END || '"n":' || CASE WHEN text_n THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || ',"text":' || q
+         || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
+FROM c
+"""
+
+#: Embeddings stand for recordings: each value is a note of an eighth of a second, its pitch by its size.
+RATE, NOTE = 4096, 512
+
+
+def _melody(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        tunes = []
+        for vector in batch.column(1):
+            v = np.nan_to_num(np.array(vector.as_py() or [], dtype=float))
+            pitch = 45 + np.floor(np.clip((v + 0.4) / 0.8, 0, 0.999) * 36)
+            phase = np.repeat(440 * 2 ** ((pitch - 69) / 12) * (2 * np.pi / RATE), NOTE).cumsum()
+            tunes.append(np.sin(phase).astype(np.float32).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tunes, pa.list_(pa.float32()))], ["vec_id", "samples"])
+
+
+def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    media = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(_melody, "vec_id long, samples array<float>")
+    return audio_fingerprints.align(audio_fingerprints.fingerprints(media, "vec_id", "samples", RATE), "vec_id")
+
+
 def op10_maximum_scoring_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_extraction.extract_text(pages, html_extraction.fit(pages))
@@ -167,6 +284,9 @@ FROM e LEFT JOIN p ON p.source = e.source AND p.lang = e.lang AND p.topic = e.to
 
 
 QUERIES = {
+    "op2_temporal_list_join": op2_temporal_list_join,
+    "op3_tool_call_linking": op3_tool_call_linking,
+    "op9_chroma_fingerprints": op9_chroma_fingerprints,
     "op1_external_index_merge": op1_external_index_merge,
     "op10_maximum_scoring_subsequence": op10_maximum_scoring_subsequence,
     "op8_iterative_proportional_fitting": op8_iterative_proportional_fitting,
@@ -175,4 +295,4 @@ QUERIES = {
     "op6_hierarchical_packing": op6_hierarchical_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
-ORACLES = {"op5_heavy_hitter_dedup": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_iterative_proportional_fitting": _op8_sql()}
+ORACLES = {"op2_temporal_list_join": OP2_SQL, "op3_tool_call_linking": OP3_SQL, "op5_heavy_hitter_dedup": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_iterative_proportional_fitting": _op8_sql()}
