@@ -13,7 +13,7 @@ next.
 
 Buckets of the index name candidates without all their pairs: first every member meets its bucket's pivot (the one
 with the smallest part of rare shingles), links give components, and then only members of different components
-meet, if their sizes allow it. Candidates are pruned by the part of the hash order that both prefixes cover (an
+meet, if their sizes and their numbers of rare shingles allow it. Candidates are pruned by the part of the hash order that both prefixes cover (an
 exact bound) and then verified on whole sets. No link between different texts is lost.
 """
 
@@ -71,12 +71,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]).astype(np.int64)))
 
 
+def long_prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The first m + 1 shingles by hash and half as many more, which may stand in for frequent ones; none if the set
+    is so small that it has no partner but its equals."""
+    n = len(shingles)
+    need = spare(n, percent) + 1
+    alone = 100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n
+    return shingles[: 0 if alone else need + need // 2 + 8]
+
+
 def _sketch(k: int, percent: int):
     def sketch(batches):
         for ids, sets in _batches(batches, k):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            # a set this small has no partner but its equals
-            prefixes = [s[: spare(len(s), percent) + 1] if 100 * len(s) >= percent * (len(s) + 1) or 100 * (len(s) - 1) >= percent * len(s) > 0 else s[:0] for s in sets]
+            prefixes = [long_prefix(s, percent) for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], ["id", "n", "digest", "prefix"])
 
     return sketch
@@ -90,14 +98,14 @@ def _sets(k: int):
     return sets
 
 
-def combination_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, float]:
-    """The index keys of a set of which `frequent` is a subset, and the part of it that is rare."""
+def combination_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The single and the paired index keys of a set of which `frequent` is a subset, and how many are rare."""
     n = len(shingles)
     rare = np.setdiff1d(shingles, frequent, assume_unique=True)
     need = spare(n, percent) + 1
     if len(rare) >= need:
-        return rare[:need], len(rare) / n
-    keys = [rare]
+        return rare[:need], rare[:0], len(rare)
+    pairs = [rare[:0]]
     base = 100 / (percent - 0.1)
     own = math.floor(math.log(n) / math.log(base))
     common = np.sort(frequent)
@@ -113,8 +121,8 @@ def combination_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -
             pair = of[gap:] == of[:-gap]
             if not pair.any():
                 break
-            keys.append(mix(mix(prefix[:-gap][pair] + np.uint64(2 * size_class + 1)) ^ prefix[gap:][pair]).view(np.int64))
-    return np.concatenate(keys), len(rare) / n
+            pairs.append(mix(mix(prefix[:-gap][pair] + np.uint64(2 * size_class + 1)) ^ prefix[gap:][pair]).view(np.int64))
+    return rare, np.concatenate(pairs), len(rare)
 
 
 def _keys(percent: int):
@@ -122,11 +130,16 @@ def _keys(percent: int):
         for batch in batches:
             ids, sets, common = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             made = [combination_keys(s, c, percent) for s, c in zip(sets, common, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), _lists([m[0] for m in made]), pa.array([m[1] for m in made], pa.float64())], ["id", "n", "keys", "rare"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), _lists([m[0] for m in made]), _lists([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64())], ["id", "n", "singles", "pairs", "rare"])
 
     return keys
 
 
+def _least(a: str, b: str, percent: int):
+    """The smallest intersection of two linked sets of these sizes."""
+    return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
+
+
 def _fits(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.col(a) > 0)
 
@@ -151,38 +164,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets are one node, their smallest id
     equal = staged(linkable.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size")).where("size > 1"), "equal")
     copies = staged(join_groups(linkable.select("id", "digest"), equal, "digest", "size", total).where("id <> node").select("id", "node"), "copies")
-    nodes = linkable.join(checked(copies.select("id")), "id", "left_anti").select("id", "n", "prefix")
-    postings = nodes.select("id", "n", F.lit(1.0).alias("rare"), F.explode("prefix").alias("key"))
+    need = f"(n - ({percent} * n + 99) div 100 + 1)"
+    nodes = linkable.join(checked(copies.select("id")), "id", "left_anti").select("id", "n", "prefix", F.expr(need).cast("int").alias("need"))
+    postings = nodes.select("id", F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
+    longer = nodes.select("id", F.explode("prefix").alias("key"))
     posted = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
 
-    # which shingles are frequent
-    often = staged(postings.groupBy("key").count().where(F.col("count") > frequent), "often")
-    index = postings
-    if not often.isEmpty():
+    # which shingles are frequent: first by prefixes, then by all shingles of sets that have too few rare ones
+    def holders(keys: DataFrame) -> DataFrame:
+        return staged(join_groups(postings, keys, "key", "count", posted).select("id").distinct(), "ids")
 
-        def holders(keys: DataFrame) -> DataFrame:
-            return join_groups(postings, keys, "key", "count", posted).select("id").distinct()
+    def common_of(ids: DataFrame, keys: DataFrame) -> DataFrame:
+        """For the nodes of ids: n, prefix, need, and which of the prefix are among keys."""
+        theirs = join_groups(longer.join(checked(ids), "id", "left_semi"), keys, "key", "count", posted)
+        common = theirs.groupBy("id").agg(F.collect_list("key").alias("common"))
+        return staged(nodes.join(checked(ids), "id", "left_semi").join(common, "id").withColumn("left", F.array_except("prefix", "common")), "common")
 
-        def whole(ids: DataFrame) -> DataFrame:
-            found = texts.join(checked(ids), "id", "left_semi").mapInArrow(_sets(k), f"id {id_type}, n long, shingles array<long>")
-            return staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
+    def whole(ids: DataFrame) -> DataFrame:
+        found = texts.join(checked(ids), "id", "left_semi").mapInArrow(_sets(k), f"id {id_type}, n long, shingles array<long>")
+        return staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
 
-        near = staged(holders(often), "ids")
-        sets = whole(near)
-        counted = sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") > frequent)
-        often = staged(often.unionAll(counted).groupBy("key").agg(F.max("count").alias("count")), "often")
-        late = staged(holders(often).join(near, "id", "left_anti"), "ids")
-        sets = sets.unionAll(whole(late))
+    often = staged(postings.groupBy("key").count().where(F.col("count") > frequent), "often")
+    single = nodes.select("id", "n", F.lit(0).cast("long").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
+    index = single
+    if not often.isEmpty():
+        near = holders(often)
+        short = staged(common_of(near, often).where(F.size("left") < F.col("need")).select("id"), "ids")
+        counted = longer.join(checked(near), "id", "left_semi").select("key").unionAll(whole(short).select(F.explode("shingles").alias("key")))
+        often = staged(often.unionAll(counted.groupBy("key").count().where(F.col("count") > frequent)).groupBy("key").agg(F.max("count").alias("count")), "often")
+        near = holders(often)
+        by_prefix = common_of(near, often)
+        enough = F.size("left") >= F.col("need")
+        served = by_prefix.where(enough).select("id", "n", F.lit(0).cast("long").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("left", F.lit(1), F.col("need"))).alias("key"))
+        sets = whole(staged(by_prefix.where(~enough).select("id"), "ids"))
         each = sets.select("id", F.explode("shingles").alias("key"))
         theirs = join_groups(each, often, "key", "count", posted).groupBy("id").agg(F.collect_list("key").alias("common"))
-        again = sets.join(theirs, "id").select("id", "shingles", "common").mapInArrow(_keys(percent), f"id {id_type}, n long, keys array<long>, rare double")
-        again = staged(again, "keys")
-        kept = postings.join(checked(again.select("id")), "id", "left_anti")
-        index = kept.unionByName(again.select("id", "n", "rare", F.explode("keys").alias("key")))
-
-    buckets = index.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "id", "n")).alias("p")).where("size > 1")
-    buckets = staged(buckets.select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
-    members = staged(join_groups(index.select("key", "id", "n"), buckets, "key", "size", posted), "members")
+        combined = staged(sets.join(theirs, "id").select("id", "shingles", "common").mapInArrow(_keys(percent), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long"), "keys")
+        part = (F.col("rare") / F.col("n")).alias("part")
+        alone = combined.select("id", "n", "rare", part, F.lit(False).alias("paired"), F.explode("singles").alias("key"))
+        paired = combined.select("id", "n", "rare", part, F.lit(True).alias("paired"), F.explode("pairs").alias("key"))
+        index = single.join(checked(near), "id", "left_anti").unionByName(served).unionByName(alone).unionByName(paired)
+
+    buckets = index.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("part", "id", "n", "rare")).alias("p")).where("size > 1")
+    buckets = staged(buckets.select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "buckets")
+    members = staged(join_groups(index.select("key", "id", "n", "rare", "paired"), buckets, "key", "size", posted), "members")
+
+    def able(a: str, b: str):
+        """Whether members of one bucket may link. Sets that are indexed by pairs have all their rare shingles in the
+        index: if they share one they meet there, and if they share none, all of these are missing."""
+        least = lambda n, m: F.col(n) - _least("a_n", "b_n", percent) >= F.col(m)
+        return _fits("a_n", "b_n", percent) & (~F.col("paired") | (least("a_n", a) & least("b_n", b)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b, a_n, b_n), each once."""
@@ -191,10 +222,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         last = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
         upto = lambda c: F.size(F.filter(c, lambda x: x <= last))
         shared = F.size(F.array_intersect("pa", "pb"))
-        # |a & b| >= percent (a_n + b_n) / (100 + percent) for a link
-        least = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
-        able = (upto("pa") - shared <= F.col("a_n") - least) & (upto("pb") - shared <= F.col("b_n") - least)
-        able_pairs = staged(seen.where(able).select("a", "b"), "able")
+        least = _least("a_n", "b_n", percent)
+        close = (upto("pa") - shared <= F.col("a_n") - least) & (upto("pb") - shared <= F.col("b_n") - least)
+        able_pairs = staged(seen.where(close).select("a", "b"), "able")
         ids = able_pairs.select(F.col("a").alias("id")).unionAll(able_pairs.select("b")).distinct()
         found = texts.join(checked(staged(ids, "ids")), "id", "left_semi").mapInArrow(_sets(k), f"id {id_type}, n long, shingles array<long>")
         full = staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
@@ -202,18 +232,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inter = F.size(F.array_intersect("sa", "sb"))
         return staged(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
 
-    to_pivots = members.where((F.col("id") != F.col("pivot")) & _fits("n", "pivot_n", percent))
-    first = verified(to_pivots.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.when(F.col("id") < F.col("pivot"), F.col("n")).otherwise(F.col("pivot_n")).alias("a_n"), F.when(F.col("id") < F.col("pivot"), F.col("pivot_n")).otherwise(F.col("n")).alias("b_n")).distinct())
+    to_pivots = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("rare").alias("ra"), F.col("pivot").alias("b"), F.col("pivot_n").alias("b_n"), F.col("pivot_rare").alias("rb"), "paired")
+    first = verified(to_pivots.where(able("ra", "rb")).select("a", "b", "a_n", "b_n").distinct())
     labels = components(first)
 
     # members of one bucket that are still in different components
     parts = members.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = parts.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low <> high").select("key", "count")
     base = math.log(100 / (percent - 0.1))
-    loose = staged(join_groups(parts, split, "key", "count", posted).where("id <> pivot").select("key", "id", "n", "label", F.floor(F.log("n") / base).cast("int").alias("c")), "loose")
-    left = loose.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("la"), "c")
-    right = loose.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("lb"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
-    rest = left.join(right, ["key", "c"]).where((F.col("la") < F.col("lb")) & _fits("a_n", "b_n", percent))
+    loose = staged(join_groups(parts, split, "key", "count", posted).where("id <> pivot").select("key", "id", "n", "rare", "paired", "label", F.floor(F.log("n") / base).cast("int").alias("c")), "loose")
+    left = loose.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("la"), F.col("rare").alias("ra"), "paired", "c")
+    right = loose.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("lb"), F.col("rare").alias("rb"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
+    rest = left.join(right, ["key", "c"]).where((F.col("la") < F.col("lb")) & able("ra", "rb"))
     second = verified(rest.select("a", "b", "a_n", "b_n").distinct())
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     bridges = second.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
