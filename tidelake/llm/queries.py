@@ -160,7 +160,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

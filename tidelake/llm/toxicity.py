@@ -13,6 +13,7 @@ copied into many rows counts once, a term that stands in ever new places counts
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 from collections import Counter
@@ -23,10 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import small_batches
+from tidelake.llm.common import small_batches, staged
 
-#: Rows of a class that training takes at most (those with the smallest hashes of their texts).
-TOXIC_ROWS, ORDINARY_ROWS = 2500, 5000
+#: What training takes at most of a class (the distinct texts with the smallest hashes): texts, and bytes of text in
+#: all; and the longest text, in bytes, that it takes. Scoring has no such bound.
+TOXIC_ROWS, ORDINARY_ROWS, TOXIC_BYTES, ORDINARY_BYTES, ROW_BYTES = 2500, 5000, 24_000_000, 24_000_000, 64_000
 #: Bytes of a window at which it is closed; longest word piece; zstandard's level.
 WINDOW, LONGEST, LEVEL = 64, 256, 6
 #: Common words in both dictionaries; least log ratio of a toxic term; its least share of word pairs; terms at most.
@@ -90,18 +92,22 @@ def probabilities(model: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _pairs(texts: list[str]) -> set[tuple[bytes, bytes]]:
-    found: set[tuple[bytes, bytes]] = set()
+def _endings(texts: list[str]) -> tuple[Counter, int]:
+    """How many distinct words stand before each word, and how many distinct pairs of words there are."""
+    ids: dict[bytes, int] = {b"": 0}
+    pairs = [np.empty(0, np.int64)]
     for t in texts:
-        words = words_of(t)
-        found.update(zip([b"", *words], words, strict=False))
-    return found
+        own = np.array([0, *(ids.setdefault(w, len(ids)) for w in words_of(t))], np.int64)
+        pairs.append(np.unique((own[:-1] << 32) | own[1:]))
+    distinct = np.unique(np.concatenate(pairs))
+    counts = np.bincount(distinct & 0xFFFFFFFF, minlength=len(ids))
+    return Counter({w: int(n) for w, n in zip(ids, counts, strict=True) if n}), len(distinct)
 
 
-def _terms(pairs: set[tuple[bytes, bytes]], only: set[str] | None = None) -> Counter:
+def _terms(endings: Counter, only: set[str] | None = None) -> Counter:
     """How many pairs end in a word, or a word that begins so (4 to 9 letters)."""
     found: Counter = Counter()
-    for word, n in Counter(w for _, w in pairs).items():
+    for word, n in endings.items():
         w = word.decode(errors="ignore").strip(".,;:!?\"'()")
         for term in {*(f" {w[:k]}" for k in range(4, min(len(w), 9) + 1)), *([f" {w} "] if 3 <= len(w) <= 24 else [])}:
             if only is None or term in only:
@@ -113,10 +119,10 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary; what occurs most stands last, where references are short."""
     common = Counter(w for t in ordinary for w in set(words_of(t)))
     base = b" ".join(w for w, _ in reversed(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON])) + b" "
-    of_toxic, of_ordinary = _pairs(toxic), _pairs(ordinary)
-    often = {t: n for t, n in _terms(of_toxic).items() if n >= max(4, SHARE * len(of_toxic))}
+    (of_toxic, n_toxic), (of_ordinary, n_ordinary) = _endings(toxic), _endings(ordinary)
+    often = {t: n for t, n in _terms(of_toxic).items() if n >= max(4, SHARE * n_toxic)}
     other = _terms(of_ordinary, set(often))
-    ratio = lambda t: math.log((often[t] + 0.5) / (len(of_toxic) + 1)) - math.log((other[t] + 0.5) / (len(of_ordinary) + 1))
+    ratio = lambda t: math.log((often[t] + 0.5) / (n_toxic + 1)) - math.log((other[t] + 0.5) / (n_ordinary + 1))
     kept: list[str] = []
     for term in sorted((t for t in often if ratio(t) > RATIO), key=lambda t: (-often[t] * len(t), t)):
         if len(kept) < TERMS and not any(k.rstrip() in term or term.rstrip() in k for k in kept):
@@ -149,14 +155,32 @@ def fit_rows(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     return Model(bare.toxic, bare.ordinary, tuple(float(v) for v in w))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
-    """A model from labelled rows (label 1 or 0; others and null texts are left out). A bounded number of rows of
-    each class, those whose texts hash smallest, comes to the driver; the prior is counted over all rows."""
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null and y in (0, 1)")
-    sizes = dict(rows.groupBy("y").count().collect())
-    one = lambda y, n: [r.t for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("t")).limit(n).select("t").collect()]
-    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return fit_rows(one(1, toxic_rows), one(0, ordinary_rows), prior)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from docs and their labels (id_col, label_col: 1 or 0; rows with others and null texts are left out).
+
+    Hashes and sizes of the labelled texts choose a bounded sample of each class, whose texts alone come to the
+    driver; whole texts are neither shuffled nor sorted for it. The prior is counted over all labelled rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    rows = rows.withColumns({"h": F.xxhash64("t"), "size": F.octet_length("t")})
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    keys = rows.select("id", "h", "size").join(marks, "id").groupBy("y", "h").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    keys = staged(keys, "labelled")
+    sizes = {r.y: (r.n, r.texts) for r in keys.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
+    chosen: dict[int, list[str]] = {}
+    for y, most, limit in ((1, TOXIC_ROWS, TOXIC_BYTES), (0, ORDINARY_ROWS, ORDINARY_BYTES)):
+        # hashes are spread evenly: four times as many as are wanted lie below this one, however many tasks look
+        below = min(2**63 - 1, -(2**63) + 2**64 * 4 * most // max(1, sizes.get(y, (0, 0))[1]))
+        found = keys.where((F.col("y") == y) & (F.col("h") <= below) & (F.col("size") <= ROW_BYTES)).orderBy("h").limit(most).select("h", "size").collect()
+        hashes = [r.h for r, total in zip(found, itertools.accumulate(r.size for r in found), strict=True) if total <= limit]
+        if not hashes:
+            chosen[y] = []
+            continue
+        near = rows.where((F.col("h") <= hashes[-1]) & (F.col("size") <= ROW_BYTES)).join(marks.where(F.col("y") == y), "id")
+        texts = near.groupBy("h").agg(F.first("t").alias("t")).collect()
+        chosen[y] = [r.t for r in sorted(texts, key=lambda r: r.h)]
+    prior = sizes.get(1, (0, 0))[0] / max(1, sum(n for n, _ in sizes.values()))
+    return fit_rows(chosen[1], chosen[0], prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
