@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +55,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    _path_of[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing which is still to be computed reads."""
+    for df in tables:
+        path = _path_of.pop(df)
+        _written.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

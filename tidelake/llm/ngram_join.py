@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import checked, join_groups, small_batches, staged
+from tidelake.llm.common import checked, discard, join_groups, small_batches, staged
 from tidelake.llm.components import components
 from tidelake.llm.fasthash import mix, segment_hashes, shingle_hashes
 
@@ -186,12 +186,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     often = staged(postings.groupBy("key").count().where(F.col("count") > frequent), "often")
     single = nodes.select("id", "n", F.lit(0).cast("long").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
-    index = single
+    index, sources = single, []
     if not often.isEmpty():
         near = holders(often)
-        short = staged(common_of(near, often).where(F.size("left") < F.col("need")).select("id"), "ids")
-        counted = longer.join(checked(near), "id", "left_semi").select("key").unionAll(whole(short).select(F.explode("shingles").alias("key")))
+        by_prefix = common_of(near, often)
+        short = staged(by_prefix.where(F.size("left") < F.col("need")).select("id"), "ids")
+        discard(by_prefix)
+        sets = whole(short)
+        counted = longer.join(checked(near), "id", "left_semi").select("key").unionAll(sets.select(F.explode("shingles").alias("key")))
         often = staged(often.unionAll(counted.groupBy("key").count().where(F.col("count") > frequent)).groupBy("key").agg(F.max("count").alias("count")), "often")
+        discard(sets)
         near = holders(often)
         by_prefix = common_of(near, often)
         enough = F.size("left") >= F.col("need")
@@ -200,6 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         each = sets.select("id", F.explode("shingles").alias("key"))
         theirs = join_groups(each, often, "key", "count", posted).groupBy("id").agg(F.collect_list("key").alias("common"))
         combined = staged(sets.join(theirs, "id").select("id", "shingles", "common").mapInArrow(_keys(percent), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long"), "keys")
+        discard(sets)
+        sources = [by_prefix, combined]
         part = (F.col("rare") / F.col("n")).alias("part")
         alone = combined.select("id", "n", "rare", part, F.lit(False).alias("paired"), F.explode("singles").alias("key"))
         paired = combined.select("id", "n", "rare", part, F.lit(True).alias("paired"), F.explode("pairs").alias("key"))
@@ -209,6 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = staged(buckets.select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "buckets")
     members = staged(join_groups(index.select("key", "id", "n", "rare", "paired"), buckets, "key", "size", posted), "members")
 
+    discard(buckets, *sources)
+
     def able(a: str, b: str):
         """Whether members of one bucket may link. Sets that are indexed by pairs have all their rare shingles in the
         index: if they share one they meet there, and if they share none, all of these are missing."""
@@ -230,7 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
         both = able_pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
-        return staged(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
+        links = staged(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
+        discard(full, able_pairs)
+        return links
 
     to_pivots = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("rare").alias("ra"), F.col("pivot").alias("b"), F.col("pivot_n").alias("b_n"), F.col("pivot_rare").alias("rb"), "paired")
     first = verified(to_pivots.where(able("ra", "rb")).select("a", "b", "a_n", "b_n").distinct())
@@ -241,10 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = parts.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low <> high").select("key", "count")
     base = math.log(100 / (percent - 0.1))
     loose = staged(join_groups(parts, split, "key", "count", posted).where("id <> pivot").select("key", "id", "n", "rare", "paired", "label", F.floor(F.log("n") / base).cast("int").alias("c")), "loose")
+    discard(members)
     left = loose.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("la"), F.col("rare").alias("ra"), "paired", "c")
     right = loose.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("lb"), F.col("rare").alias("rb"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
     rest = left.join(right, ["key", "c"]).where((F.col("la") < F.col("lb")) & able("ra", "rb"))
     second = verified(rest.select("a", "b", "a_n", "b_n").distinct())
+    discard(loose)
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     bridges = second.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     joined = components(bridges)
