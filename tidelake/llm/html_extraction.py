@@ -127,7 +127,9 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, known: dict[str, float]) -> str:
     parts = list(units(page or ""))
-    scores = [weight_of(k, known) * (len(t.split()) if t else 1 if k.startswith("tag") else 0) for k, t, _, _ in parts]
+    # an aside is left out anyway: its words are worth nothing, so that it does not part what stands before and after
+    number = lambda k, t: len(t.split()) if t else 1 if k.startswith("tag") else 0
+    scores = [(-0.05 if k.startswith("tag") else 0.0) if aside else weight_of(k, known) * number(k, t) for k, t, _, aside in parts]
     start, end = best_region(scores)
     blocks, block = [], []
     for kind, text, new_block, aside in parts[start:end]:
@@ -144,8 +146,14 @@ def extract(page: str | None, known: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most `most` labelled pages, those whose texts hash smallest; a few hundred numbers."""
-    labelled = pages.select(F.col(html_col).alias("page")).where(F.lower("page").rlike("<(article|main)[\\s>]")).orderBy(F.xxhash64("page")).limit(most)
+    """Weights from at most `most` distinct labelled pages, those that hash smallest; a few hundred numbers. Hashes
+    alone choose them: four times as many as are wanted lie below the first bound, however many tasks look."""
+    page = F.col(html_col).cast("string")
+    labelled = pages.select(page.alias("page"), F.xxhash64(page).alias("h")).where(F.lower("page").rlike("<(article|main)[\\s>]"))
+    number = labelled.agg(F.approx_count_distinct("h")).first()[0]
+    below = min(2**63 - 1, -(2**63) + 2**64 * 4 * most // max(1, number))
+    hashes = [r.h for r in labelled.where(F.col("h") <= below).select("h").distinct().orderBy("h").limit(most).collect()]
+    labelled = labelled.where(F.col("h") <= (hashes[-1] if hashes else -(2**63))).groupBy("h").agg(F.first("page").alias("page")).select("page")
     small_batches(pages.sparkSession)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +164,8 @@ def fit(pages: DataFrame, html_col: str = "html", most: int = LABELLED_PAGES) ->
                 inside += i
                 outside += o
         keys = sorted(inside | outside)
-        yield pd.DataFrame({"kind": keys, "i": [inside[k] for k in keys], "o": [outside[k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"kind": keys, "i": [inside[k] for k in keys], "o": [outside[k] for k in keys]})
 
     rows = labelled.mapInPandas(counts, "kind string, i long, o long").groupBy("kind").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
     return weights(Counter({r.kind: r.i for r in rows}), Counter({r.kind: r.o for r in rows}))
