@@ -1,8 +1,9 @@
 """Tool-call linking for chat data, in DataFrame operations only.
 
 Calls and results meet by a hash join on their identifier. Calls are ordered topologically: a call's level is one
-more than the highest level that it depends on; each round settles the calls whose dependencies are all settled, and
-calls on a cycle stay without a level. Arguments are parsed once as variants, checked against the tool's schema, and
+more than the highest level that it depends on. Chains of calls with one dependency each are followed by pointer
+doubling, in as many rounds as the logarithm of their length; on what is left, each round settles the calls whose
+dependencies are all settled. Calls on a cycle stay without a level. Arguments are parsed once as variants, checked against the tool's schema, and
 written as canonical JSON (keys in order, no white space).
 """
 
@@ -35,21 +36,39 @@ def levels(calls: DataFrame) -> DataFrame:
     ids = calls.where("call_id is not null").select("call_id").distinct()
     edges = calls.where("call_id is not null").select("call_id", F.explode("depends_on").alias("on")).distinct()
     edges = staged(edges.join(ids.withColumnRenamed("call_id", "on"), "on", "left_semi"), "edges")
-    settled = staged(ids.join(edges.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
-    frontier, done, number, open_edges = settled, [settled], 0, edges
-    while not frontier.isEmpty():
-        number += 1
-        passed = open_edges.join(frontier.select(F.col("call_id").alias("on"), F.lit(True).alias("is_settled")), "on", "left")
-        passed = staged(passed.select("call_id", "on", F.coalesce("is_settled", F.lit(False)).alias("gone")), "open")
-        waiting = passed.groupBy("call_id").agg(F.bool_and("gone").alias("free"))
-        frontier = staged(waiting.where("free").select("call_id", F.lit(number).alias("level")), "levels")
-        done.append(frontier)
-        # a settled dependency is done with; a call is free in the round in which its last ones settle
-        open_edges = passed.where("not gone").select("call_id", "on").join(frontier.select("call_id"), "call_id", "left_anti")
-    known = done[0]
-    for more in done[1:]:
-        known = known.unionByName(more)
-    return ids.join(known, "call_id", "left")
+    by = staged(edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("on").alias("to")), "dependencies")
+    chains = chain_ends(by.where("n = 1").select("call_id", "to"))
+    roots = ids.join(by.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long"))
+
+    # calls with several dependencies, each followed to the end of its chain; what is not known yet is null
+    ends = chains.where("not open").select(F.col("call_id").alias("on"), "to", "d")
+    several = edges.join(by.where("n > 1").select("call_id"), "call_id", "left_semi").join(ends, "on", "left")
+    waits = staged(several.select("call_id", F.coalesce("to", "on").alias("on"), (1 + F.coalesce("d", F.lit(0))).alias("w"), F.lit(None).cast("long").alias("level")), "open")
+    known = settled = staged(roots, "levels")
+    while not waits.isEmpty() and not settled.isEmpty():
+        told = waits.join(settled.select(F.col("call_id").alias("on"), F.col("level").alias("new")), "on", "left")
+        told = staged(told.select("call_id", "on", "w", F.coalesce("level", F.col("new") + F.col("w")).alias("level")), "open")
+        free = told.groupBy("call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("free"), F.max("level").alias("level")).where("free")
+        settled = staged(free.select("call_id", "level"), "levels")
+        known = known.unionByName(settled)
+        waits = told.join(settled.select("call_id"), "call_id", "left_anti")
+    along = ends.join(known.withColumnRenamed("call_id", "to"), "to").select(F.col("on").alias("call_id"), (F.col("level") + F.col("d")).alias("level"))
+    return ids.join(known.unionByName(along), "call_id", "left").select("call_id", F.col("level").cast("int").alias("level"))
+
+
+def chain_ends(pointers: DataFrame) -> DataFrame:
+    """(call_id, to, d, open) for pointers (call_id, to), one per call: `to` is the first call along them without a
+    pointer of its own, d steps away. Those that never end, as they lead into a cycle, are left open."""
+    has = pointers.select(F.col("call_id").alias("to"), F.lit(True).alias("has"))
+    found = staged(pointers.join(has, "to", "left").select("call_id", "to", F.lit(1).cast("long").alias("d"), F.coalesce("has", F.lit(False)).alias("open")), "chains")
+    for _ in range(found.count().bit_length()):
+        going = found.where("open")
+        if going.isEmpty():
+            break
+        ahead = found.select(F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("d").alias("more"), F.col("open").alias("goes_on"))
+        jumped = going.join(ahead, "to").select("call_id", F.col("far").alias("to"), (F.col("d") + F.col("more")).alias("d"), F.col("goes_on").alias("open"))
+        found = staged(found.where("not open").unionByName(jumped), "chains")
+    return found
 
 
 def problems(arguments: Column, schema: Schema) -> Column:
