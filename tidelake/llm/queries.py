@@ -134,11 +134,13 @@ def _melody(batches):
     for batch in batches:
         tunes = []
         for vector in batch.column(1):
-            v = np.nan_to_num(np.array(vector.as_py() or [], dtype=float))
+            v = np.nan_to_num(np.array(vector.as_py() or [], float))
             pitch = 45 + np.floor(np.clip((v + 0.4) / 0.8, 0, 0.999) * 36)
             phase = np.repeat(440 * 2 ** ((pitch - 69) / 12) * (2 * np.pi / RATE), NOTE).cumsum()
-            tunes.append(np.sin(phase).astype(np.float32).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tunes, pa.list_(pa.float32()))], ["vec_id", "samples"])
+            tunes.append(np.sin(phase).astype(np.float32))
+        ends = np.cumsum([0, *map(len, tunes)]).astype(np.int32)
+        samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tunes, np.empty(0, np.float32)])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), samples], ["vec_id", "samples"])
 
 
 def op9_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
