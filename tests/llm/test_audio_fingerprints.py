@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from tidelake.llm.audio_fingerprints import HOP, align, chroma, codes, fingerprints
@@ -32,3 +34,29 @@ def test_shifted_and_noisy_recordings_align(spark):
     assert (found[3].aligned_to, found[3].offset) == (1, 0)
     assert all(found[i].aligned_to is None for i in (1, 4, 5, 6, 7)) and found[5].n_codes == found[6].n_codes == 0
     assert align(prints.limit(0), "media_id").count() == 0
+
+
+def meets(a: list[int], b: list[int]) -> float | None:
+    """By brute force: the share of differing bits at the offset of most shared landmarks; None without any."""
+    votes = Counter(i - j for i in range(len(a) - 1) for j in range(len(b) - 1) if a[i : i + 2] == b[j : j + 2])
+    if not votes:
+        return None
+    d = max(votes, key=lambda o: (votes[o], -abs(o), o))
+    over = [(x ^ y).bit_count() for x, y in zip(a[max(d, 0) :], b[max(-d, 0) :], strict=False)]
+    return sum(over) / (32 * len(over)) if len(over) >= 16 else None
+
+
+def test_recordings_meet_whatever_smaller_ones_hold_their_pieces(spark):
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(0, 2**32, n).tolist()
+    base, rough = new(64), new(64)
+    rows = {i: new(20) + base[16 * i - 17 if i > 1 else 0 : 16 * i] + rough[16 * i - 17 if i > 1 else 0 : 16 * i] + new(20) for i in (1, 2, 3, 4)}  # medleys that hold every landmark
+    rows |= {5: base, 9: [*base[:30], base[30] ^ 5, *base[31:]], 11: base, 12: base[3:] + new(4), 20: rough, 21: [c ^ (1 << i % 32) for i, c in enumerate(rough[:40])] + rough[40:]}
+    rows |= {30 + i: new(10) + base[4 * i : 4 * i + 12] + new(10) for i in range(6)} | {50: [7] * 40, 51: [7] * 60, 52: base[:9]}
+    found = {r.id: r for r in align(spark.createDataFrame(list(rows.items()), "id long, codes array<long>"), "id").collect()}
+    assert (found[9].aligned_to, found[11].aligned_to, found[12].aligned_to, found[21].aligned_to, found[51].aligned_to) == (5, 5, 5, 20, 50)
+    assert (found[11].bit_error, found[11].offset, found[11].votes, found[12].offset) == (0, 0, 63, -3)
+    for i, r in found.items():
+        near = [j for j in rows if j < i and (e := meets(rows[i], rows[j])) is not None and e < 0.2]
+        assert (r.aligned_to is None) == (not near) and (r.aligned_to in near or not near)
+        assert r.aligned_to is None or abs(meets(rows[i], rows[r.aligned_to]) - r.bit_error) < 1e-12

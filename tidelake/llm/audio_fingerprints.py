@@ -4,10 +4,12 @@ A recording's samples become frames of twelve pitch-class energies. Sixteen filt
 rectangles over 16 frames, are read off an integral image of the frames and give two bits each: one packed 32-bit
 integer per frame. Two successive integers are a landmark.
 
-Alignment is linear in the landmarks: each landmark's recordings meet its pivot, the one with the smallest id, and no
-others. Of a recording and a pivot, the offsets of their shared landmarks form a histogram; the fullest offset is
-checked by the share of differing bits over the whole overlap. Landmarks that a thousandth of all recordings or more
-share are joined by broadcast, as are such pivots.
+Recordings with equal integers are one node. A landmark's recordings first meet its pivot, the one with the smallest
+id. Then those meet each other that these links leave in different components, or of which the larger has no smaller
+partner yet: linear where recordings agree, and n * n / 2 pairs for a landmark of n recordings that do not. Of two
+recordings, the offsets of their shared landmarks, at all positions, form a histogram; the fullest offset is checked
+by the share of differing bits over the whole overlap. Landmarks that a thousandth of all recordings or more share
+are joined to their pivots by broadcast, as are such recordings to those that they meet.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import join_groups, small_batches, staged
+from tidelake.llm.common import checked, join_groups, small_batches, staged
+from tidelake.llm.components import components
 
 #: Samples of a frame and from one frame to the next; the lowest and highest frequency that counts.
 FRAME, HOP, LOWEST, HIGHEST = 1024, 256, 60.0, 1800.0
@@ -97,28 +100,52 @@ def fingerprints(media: DataFrame, id_col: str, samples_col: str, rate: int) ->
 def align(prints: DataFrame, id_col: str, most_errors: float = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """One row per distinct id of prints (id_col, codes): id_col, n_codes, aligned_to, offset, bit_error, votes.
 
-    aligned_to is the best of the pivots of its landmarks: the recording with the smallest id that has the landmark.
-    Best is the smallest share of differing bits at the fullest offset (ties: most votes, then smallest id); null if
-    none is below most_errors over least_overlap frames. offset: this recording's frame less the pivot's. Of rows
-    that repeat an id the one with most codes counts; null ids have no row.
+    aligned_to is null only if none of the recordings that have a smaller id and a common landmark is below most_errors
+    over least_overlap frames at the fullest offset (ties: the smallest shift). Else it is the best of those that were
+    met: the smallest share of differing bits (ties: most votes, then smallest id). offset: this recording's frame less
+    the other's. Of rows that repeat an id the one with most codes counts; null ids have no row.
     """
     one = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max_by("codes", F.struct(F.size("codes"), "codes")).alias("codes"))
-    one = staged(one, "prints")
-    landmarks = one.select("id", F.posexplode(F.expr("transform(sequence(1, greatest(size(codes) - 1, 1)), i -> if(size(codes) < 2, null, xxhash64(codes[i - 1], codes[i])))")).alias("at", "mark")).where("mark is not null")
-    landmarks = staged(landmarks, "landmarks")
-    pivots = landmarks.groupBy("mark").agg(F.min(F.struct("id", "at")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    pivots = staged(pivots.select("mark", "size", F.col("p.id").alias("pivot"), F.col("p.at").alias("pivot_at")), "pivots")
-    met = join_groups(landmarks, pivots, "mark", "size", landmarks.count()).where("id <> pivot")
-    histogram = met.groupBy("id", "pivot", (F.col("at") - F.col("pivot_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    fullest = staged(histogram.groupBy("id", "pivot").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("h")).select("id", "pivot", "h.votes", "h.offset"), "offsets")
-    members = fullest.groupBy("pivot").agg(F.count("*").alias("n"))
-    theirs = members.join(one.select(F.col("id").alias("pivot"), F.col("codes").alias("theirs")), "pivot")
-    both = join_groups(fullest, theirs, "pivot", "n", fullest.count()).join(one, "id")
-    a, b = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    overlap = F.least(F.size("codes") - a, F.size("theirs") - b)
-    bits = F.aggregate(F.zip_with(F.slice("codes", a + 1, overlap), F.slice("theirs", b + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    checked = both.withColumn("overlap", overlap).where(F.col("overlap") >= least_overlap).withColumn("bit_error", bits / (32 * F.col("overlap")))
-    best = checked.where(F.col("bit_error") < most_errors).groupBy("id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "pivot", "offset")).alias("m"))
-    return one.join(best, "id", "left").select(
-        F.col("id").alias(id_col), F.size("codes").cast("long").alias("n_codes"), F.col("m.pivot").alias("aligned_to"), F.col("m.offset").cast("long").alias("offset"), F.col("m.bit_error").alias("bit_error"), (-F.col("m.less")).alias("votes")
+    one = staged(one.withColumn("digest", F.sha2(F.array_join("codes", ","), 256)), "prints")
+    able = one.where(F.size("codes") >= max(2, least_overlap))  # no other can overlap enough
+    equal = staged(able.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size")).where("size > 1"), "equal")
+    copies = join_groups(able, equal, "digest", "size", able.count()).where("id <> node").where(F.lit(0.0) < most_errors)
+    copies = staged(copies.select("id", "node", (1 - F.size("codes")).cast("long").alias("less")), "copies")
+    nodes = able.join(checked(copies.select("id")), "id", "left_anti")
+    landmarks = staged(nodes.select("id", F.posexplode(F.expr("transform(sequence(1, size(codes) - 1), i -> xxhash64(codes[i - 1], codes[i]))")).alias("at", "mark")), "landmarks")
+    buckets = landmarks.groupBy("mark").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("size")).where("pivot <> last")
+    members = staged(join_groups(landmarks, staged(buckets.drop("last"), "buckets"), "mark", "size", landmarks.count()), "members")
+
+    def verified(met: DataFrame) -> DataFrame:
+        """(id, other, offset, votes, bit_error) of the pairs that align, from one row (id, other, offset) per vote."""
+        histogram = met.groupBy("id", "other", "offset").agg(F.count("*").alias("votes"))
+        fullest = staged(histogram.groupBy("id", "other").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("h")).select("id", "other", "h.votes", "h.offset"), "offsets")
+        met_by = fullest.groupBy("other").agg(F.count("*").alias("n"))
+        theirs = met_by.join(nodes.select(F.col("id").alias("other"), F.col("codes").alias("theirs")), "other")
+        both = join_groups(fullest, theirs, "other", "n", fullest.count()).join(nodes.select("id", "codes"), "id")
+        a, b = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
+        overlap = F.least(F.size("codes") - a, F.size("theirs") - b)
+        bits = F.aggregate(F.zip_with(F.slice("codes", a + 1, overlap), F.slice("theirs", b + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        close = both.withColumn("overlap", overlap).where(F.col("overlap") >= least_overlap).withColumn("bit_error", bits / (32 * F.col("overlap")))
+        return staged(close.where(F.col("bit_error") < most_errors).select("id", "other", "offset", "votes", "bit_error"), "aligned")
+
+    pivots = members.where("id = pivot").groupBy("mark", "size", "pivot").agg(F.collect_list("at").alias("ats"))
+    to_pivots = join_groups(members.where("id <> pivot").select("id", "at", "mark"), pivots, "mark", "size", landmarks.count())
+    first = verified(to_pivots.select("id", F.col("pivot").alias("other"), "at", F.explode("ats").alias("its")).select("id", "other", (F.col("at") - F.col("its")).alias("offset")))
+
+    # of one landmark's others, those that are still apart, or that have no smaller partner
+    labels = components(first.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    state = labels.withColumnRenamed("node", "id").join(first.select("id", F.lit(True).alias("led")).distinct(), "id", "left")
+    parts = members.where("id <> pivot").select("mark", "id", "at").join(checked(staged(state, "state")), "id", "left").select("mark", "id", "at", F.coalesce("label", "id").alias("label"), F.coalesce("led", F.lit(False)).alias("led"))
+    split = parts.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("label").alias("l"), F.max("label").alias("h"), F.every("led").alias("led"), F.count("*").alias("count")).where("low <> high and (l <> h or not led)")
+    loose = staged(join_groups(parts, split.select("mark", "count"), "mark", "count", landmarks.count()).drop("count"), "loose")
+    theirs = loose.select("mark", F.col("id").alias("other"), F.col("at").alias("its"), F.col("label").alias("its_label"))
+    rest = loose.join(theirs, "mark").where("id > other and (not led or label <> its_label)")
+    second = verified(rest.select("id", "other", (F.col("at") - F.col("its")).alias("offset")))
+
+    as_found = lambda less, to, offset, error: F.struct(error.alias("bit_error"), less.alias("less"), to.alias("to"), offset.alias("offset"))
+    best = first.unionAll(second).groupBy("id").agg(F.min(as_found(-F.col("votes"), F.col("other"), F.col("offset"), F.col("bit_error"))).alias("m"))
+    of_copies = copies.join(best.select(F.col("id").alias("node"), "m"), "node", "left").select("id", F.least(as_found(F.col("less"), F.col("node"), F.lit(0), F.lit(0.0)), "m").alias("m"))
+    return one.join(best.unionAll(of_copies), "id", "left").select(
+        F.col("id").alias(id_col), F.size("codes").cast("long").alias("n_codes"), F.col("m.to").alias("aligned_to"), F.col("m.offset").cast("long").alias("offset"), F.col("m.bit_error").alias("bit_error"), (-F.col("m.less")).alias("votes")
     )
