@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tidelake.llm import exact_dedup, mixing, ngram_join, packing, queries, toxicity
 from tidelake.llm.common import free_name, staged, table
 
+#: Share of its input's tokens that the mixing stage keeps, whatever rare values the marginals have.
+MIX_SHARE = 0.5
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is at least 0.5 go; the model is learnt from labelled rows of the stage's own input
@@ -33,8 +36,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by the probabilities that rake sources, languages and topics to their targets."""
-    return mixing.sample(docs, queries.mix_columns(), queries.mix_tokens(), queries.MIX_POWERS, F.col("doc_id"))
+    """A sample of MIX_SHARE of the tokens by the probabilities that rake sources, languages and topics to their targets."""
+    return mixing.sample(docs, queries.mix_columns(), queries.mix_tokens(), queries.MIX_POWERS, F.col("doc_id"), share=MIX_SHARE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidelake.llm.mixing import calibrated, rake, sample
 
 def columns():
@@ -31,3 +32,24 @@ def test_odd_rows(spark):
     one, two = (sample(docs, columns(), F.col("n"), powers, F.col("doc_id")) for _ in range(2))
     assert one.columns == docs.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert calibrated(docs.limit(0), columns(), F.col("n"), powers).count() == 0
+
+
+def test_one_rare_source_does_not_decide_what_share_is_kept(spark):
+    rows = [(i, f"s{i % 20}" if i % 3 else "s0", "x" if i % 2 else "y", 100_000) for i in range(3000)]
+    powers = {"source": 0.5, "lang": 1.0}
+    for more in ([], [(9000, "mispelt", "x", 3), (9001, None, None, 1)]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, source string, lang string, n long")
+        found = calibrated(docs, columns(), F.col("n"), powers, sweeps=5, share=0.4).collect()
+        assert all(0 <= r.mix_probability <= 1 for r in found)
+        assert sum(r.n * r.mix_probability for r in found) == pytest.approx(0.4 * sum(r.n for r in found), rel=1e-6)
+        assert all(r.mix_probability == 1 for r in found if r.doc_id == 9000)
+    kept = sample(docs, columns(), F.col("n"), powers, F.col("doc_id"), sweeps=5, share=0.4).count()
+    assert 1000 < kept < 1400
+    assert {r.mix_probability for r in calibrated(docs, columns(), F.col("n"), powers, sweeps=5, share=1.0).collect()} == {1.0}
+    assert calibrated(docs.limit(0), columns(), F.col("n"), powers, sweeps=5, share=0.4).count() == 0
+
+
+def test_the_pipeline_keeps_its_stated_share_beside_a_rare_source(spark):
+    rows = [(i, "words of a document " * 40, "en", f"s{i % 4}") for i in range(2000)] + [(9000, "lost", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.mixed(spark, docs, "").count() == pytest.approx(corpus_pipeline.MIX_SHARE * 2000, rel=0.1)

@@ -3,8 +3,10 @@
 Documents are first added up to cells (one per combination of source, language and topic, with its tokens), by an
 aggregation that combines before it shuffles. Raking then runs on the cells alone: each sweep scales the cells'
 weights so that the weights of every source, then language, then topic sum to their targets. A document's
-probability is its cell's weight over its tokens, scaled so that the largest is 1, and the document stays if a
-uniform number made from its id lies below. All of this is deterministic, so lost tasks can run again.
+probability is its cell's weight over its tokens, either scaled so that the largest is 1, or, with a stated share of
+all tokens to keep, scaled to that share and cut at 1, so that a tiny cell never decides how much of the rest stays.
+The document stays if a uniform number made from its id lies below. All of this is deterministic, so lost tasks can
+run again.
 """
 
 from __future__ import annotations
@@ -55,11 +57,31 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
     return weighed.drop(*[f"_target_{c}" for c in targets])
 
 
-def calibrated(docs: DataFrame, columns: Mapping[str, Column], tokens: Column, powers: Mapping[str, float], sweeps: int = SWEEPS) -> DataFrame:
+def scaled(raked: DataFrame, share: float) -> DataFrame:
+    """raked (tokens, weight) with `probability`: least(1, c * weight / tokens), with c such that the expected tokens are
+    `share` of all, or all that have weight if these are fewer.
+
+    From the largest ratio down, c is solved with the cells before each one kept whole; the first cell that its own c
+    does not lift above 1 has the right one. Cells without weight get 0, cells that c lifts above 1 are kept whole.
+    """
+    order = Window.orderBy(F.desc("_ratio"))
+    before = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = raked.withColumn("_ratio", F.coalesce(F.col("weight") / F.col("tokens"), F.lit(0.0)))
+    # equal ratios are one step, so that the order among them does not count
+    steps = cells.groupBy("_ratio").agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"))
+    steps = steps.select("_ratio", "w", (F.sum("t").over(before) - F.col("t")).alias("whole"), F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("left"), (F.sum("t").over(Window.partitionBy()) * share).alias("goal"))
+    right = steps.where("_ratio > 0").withColumn("c", F.greatest(F.lit(0.0), F.col("goal") - F.col("whole")) / F.col("left")).where("c * _ratio <= 1")
+    c = right.agg(F.max_by("c", "_ratio").alias("_c"))
+    chance = F.when(F.col("_ratio") <= 0, 0.0).when(F.col("_c").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("_c") * F.col("_ratio")))
+    return cells.crossJoin(F.broadcast(c)).withColumn("probability", chance).drop("_ratio", "_c")
+
+
+def calibrated(docs: DataFrame, columns: Mapping[str, Column], tokens: Column, powers: Mapping[str, float], sweeps: int = SWEEPS, share: float | None = None) -> DataFrame:
     """docs with `mix_cell_weight`, `mix_probability`, or, where docs has these, names with underscores before them.
 
     columns names the marginals; powers temper their present shares to targets. Null values of a marginal are a
-    value of their own. Documents without tokens get probability 0. An empty table stays empty.
+    value of their own. Documents without tokens get probability 0. An empty table stays empty. With a share, the
+    probabilities add up to that share of all tokens; without, the largest is 1.
     """
     own = {c: free_name(docs, f"mix_{c}") for c in columns}
     counted, weight, probability = (free_name(docs, f"mix_{x}") for x in ("tokens", "cell_weight", "probability"))
@@ -68,13 +90,14 @@ def calibrated(docs: DataFrame, columns: Mapping[str, Column], tokens: Column, p
     cells = staged(rows.groupBy(*keys).agg(F.sum(counted).alias("tokens")), "cells")
     raked = rake(cells, {own[c]: tempered(cells, own[c], powers[c]) for c in columns}, sweeps)
     ratio = F.col("weight") / F.col("tokens")
-    plan = raked.select(*keys, F.col("weight").alias(weight), (ratio / F.max(ratio).over(Window.partitionBy())).alias(probability))
+    chances = raked.withColumn("probability", ratio / F.max(ratio).over(Window.partitionBy())) if share is None else scaled(raked, share)
+    plan = chances.select(*keys, F.col("weight").alias(weight), F.col("probability").alias(probability))
     joined = rows.join(staged(plan, "mix-plan"), keys, "left").fillna({weight: 0.0, probability: 0.0})
     return joined.select(*docs.columns, weight, F.when(F.col(counted) > 0, F.col(probability)).otherwise(0.0).alias(probability))
 
 
-def sample(docs: DataFrame, columns: Mapping[str, Column], tokens: Column, powers: Mapping[str, float], key: Column, sweeps: int = SWEEPS) -> DataFrame:
+def sample(docs: DataFrame, columns: Mapping[str, Column], tokens: Column, powers: Mapping[str, float], key: Column, sweeps: int = SWEEPS, share: float | None = None) -> DataFrame:
     """The documents that the calibrated probabilities keep; columns as in docs. Rows with the same key stay or go
     together."""
     probability = free_name(docs, "mix_probability")
-    return calibrated(docs, columns, tokens, powers, sweeps).where(uniform(key) < F.col(probability)).select(docs.columns)
+    return calibrated(docs, columns, tokens, powers, sweeps, share).where(uniform(key) < F.col(probability)).select(docs.columns)
