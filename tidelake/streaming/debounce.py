@@ -6,22 +6,55 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, computed once: into the checkpoint folder where one is set, else (one process) with the executors."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
 def windows(events: DataFrame, key: str, at: str, length: int) -> DataFrame:
     """Batch form: (key, opened_at, events). Times are whole numbers; an event at exactly the close opens the next
-    window. The fold needs a key's events in order; a key is a catalogue or namespace, its list change notifications.
+    window. Null times do not count, a null key is a key.
+
+    No task holds a key: the distinct times, and for each the probe `length` later, are sorted into ranges, and what a
+    range's neighbours know is carried over its bounds. A probe finds the event that opens the next window if its own
+    event opened one. A time at least `length` after the one before always opens one; from these the jumps are followed
+    by pointer doubling, in rounds that grow with the logarithm of the longest run of windows without such a gap.
     """
-    step = f"""aggregate(
-      array_sort(collect_list({at})),
-      CAST(array() AS array<struct<opened_at: bigint, events: bigint>>),
-      (acc, t) -> CASE WHEN size(acc) = 0 OR t >= element_at(acc, -1).opened_at + {length}
-        THEN array_append(acc, named_struct('opened_at', t, 'events', 1L))
-        ELSE array_append(slice(acc, 1, size(acc) - 1), named_struct('opened_at', element_at(acc, -1).opened_at, 'events', element_at(acc, -1).events + 1)) END)"""
-    return events.groupBy(key).agg(F.expr(step).alias("w")).select(key, F.explode("w").alias("w")).select(key, F.col("w.opened_at").alias("opened_at"), F.col("w.events").alias("events"))
+    times = events.where(F.col(at).isNotNull()).groupBy(F.col(key).alias("k"), F.col(at).cast("bigint").alias("t")).agg(F.count("*").alias("n"))
+    probes = times.select("k", (F.col("t") + length).alias("t"), F.lit(None).cast("bigint").alias("n"))
+    placed = _kept(times.unionByName(probes).repartitionByRange("k", "t").withColumn("p", F.spark_partition_id()))
+    found = F.when(F.col("n").isNotNull(), F.col("t"))
+    within = Window.partitionBy("p", "k")
+    ranges = Window.partitionBy("k").orderBy("p")
+    earlier, later = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("k", "p").agg(F.min(found).alias("low"), F.max(found).alias("high"))
+    ends = ends.select(F.col("k").alias("_k"), F.col("p").alias("_p"), F.max("high").over(earlier).alias("before"), F.min("low").over(later).alias("after"))
+    carried = lambda rows, ends: rows.join(ends, F.col("k").eqNullSafe(F.col("_k")) & (F.col("p") == F.col("_p"))).drop("_k", "_p")
+    aimed = placed.withColumn("to", F.min(found).over(within.orderBy(F.desc("t")))).withColumn("last", F.max(found).over(within.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)))
+    aimed = _kept(carried(aimed, ends).select("k", "t", "n", F.coalesce("to", "after").alias("to"), F.coalesce("last", "before").alias("last")))
+
+    opened = _kept(aimed.where(F.col("n").isNotNull() & (F.col("last").isNull() | (F.col("t") - F.col("last") >= length))).select("k", "t"))
+    at_of = lambda rows, t: (rows.select(F.col("k").alias("_k"), F.col("t").alias("_t")), F.col("k").eqNullSafe(F.col("_k")) & (F.col(t) == F.col("_t")))
+    jumps = aimed.where(F.col("n").isNull() & F.col("to").isNotNull()).select("k", (F.col("t") - length).alias("t"), "to")
+    jumps = _kept(jumps.join(*at_of(opened, "to"), "left_anti"))
+    starts = opened.unionAll(jumps.select("k", "to")).distinct()
+    jumps = _kept(jumps.join(*at_of(starts, "t"), "left_semi"))
+    while not jumps.isEmpty():
+        on = jumps.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("to").alias("_to"))
+        opened, jumps = (
+            _kept(opened.unionAll(opened.join(on, F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t"))).select("k", "_to")).distinct()),
+            _kept(jumps.join(on, F.col("k").eqNullSafe(F.col("_k")) & (F.col("to") == F.col("_t"))).select("k", "t", F.col("_to").alias("to"))),
+        )
+
+    flagged = placed.where(F.col("n").isNotNull()).join(*at_of(opened, "t"), "left").select("k", "t", "n", "p", F.col("_t").alias("o"))
+    ends = flagged.groupBy("k", "p").agg(F.max("o").alias("high")).select(F.col("k").alias("_k"), F.col("p").alias("_p"), F.max("high").over(earlier).alias("before"))
+    of = carried(flagged.withColumn("o", F.max("o").over(within.orderBy("t"))), ends).select("k", F.coalesce("o", "before").alias("o"), "n")
+    return of.groupBy("k", "o").agg(F.sum("n").alias("events")).select(F.col("k").alias(key), F.col("o").alias("opened_at"), "events")
 
 
 class Debounce(StatefulProcessor):
