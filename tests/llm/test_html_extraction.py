@@ -40,3 +40,15 @@ def test_odd_pages(spark):
     found = {r.page_id: r.text for r in extract_text(pages, fit(pages)).collect()}
     assert found[1] == found[2] == "" and found[3] == "plain words only" and len(found[4]) == 999_999 and found[None] == "x y z"
     assert extract_text(pages.limit(0), {}).count() == 0
+
+
+def test_absent_end_tags_and_icons_swallow_nothing():
+    text = "A title\nFish and chips are good."
+    for head in ("<head><title>No</title><meta charset=x>", "<head><title>No</title><style>p{}</style></head>", "<head><link rel=x>\n<title/>", "<head>"):
+        for icon in ("", "<svg class=i />", "<svg><path d='M0'/><g><text>no</text></g><title>no</title></svg>", "<svg><path d='M0'>"):
+            for body in ("<body>", ""):
+                page = f"<html>{head}{body}<article>{icon}<h1>A title</h1><p>Fish and <b>chips</b> are good.</p></article></html>"
+                assert extract(page, {}) == text, page
+    assert extract("<article><p>See <svg><path d='M0'/><text>no</text></svg>that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", {}) == "See that x=1 holds."
+    assert extract("<p>Some words.</p><noscript><p>More words.", {}) == "Some words.\nMore words."
+    assert extract("<p>Some words.</p><script>var no = 1;", {}) == "Some words."

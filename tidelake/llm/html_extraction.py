@@ -26,22 +26,31 @@ from tidelake.llm.common import small_batches
 LABELLED_PAGES = 2000
 #: Fixed names of HTML: elements without an end tag, whose content is not text, and that do not part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|math|title|textarea|head"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Content that runs to the end of the page without an end tag, and that is skipped only up to one.
+RAW, SKIPPED = "script|style|textarea", "noscript|template|iframe|title"
+HEAD = frozenset("head html base basefont bgsound link meta".split())
+MATH = frozenset("math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
+#: Elements that end an <svg> that was left open.
+NOT_SVG = frozenset("article blockquote body br code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li main ol p pre section small span strong sub sup table ul".split())
+INLINE = MATH | frozenset("svg a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: Elements and names (in class, id, role) that are never main text.
-ASIDE = frozenset("nav header footer aside form button select dialog menu".split())
+ASIDE = frozenset("nav header footer aside form button select dialog menu svg".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscri\w+|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer|header|masthead|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|disqus|search|login|signup|pagination|pager|toolbar|contentinfo|complementary|navigation)(?=$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|<({SKIPPED})(?=[\s/>])[^>]*>(?:(?<!/>).*?</\2\s*>)?"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
+    re.S | re.I,
+)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLANK = re.compile(r"\s+")
 
 def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, text, parts, aside): text is "" for a tag; parts: the tag parts blocks; aside: never main text."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are asides
-    at = 0
+    at, head = 0, False  # head: nothing yet that cannot stand in <head>, whose end tag may be absent
 
     def kind() -> tuple[str, bool]:
         aside = next((n for n, a in stack if a), None)
@@ -51,30 +60,40 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         return f"text {block}" + (" link" if any(n == "a" for n, _ in stack) else ""), False
 
     for token in _TOKEN.finditer(page):
-        if token.start() > at:
+        head = head and not page[at : token.start()].strip()
+        if token.start() > at and not head:
             k, aside = kind()
             yield k, page[at : token.start()], False, aside
         at = token.end()
-        name = (token[3] or "").lower()
+        name = (token[4] or "").lower()
         if not name:
             continue
-        aside = any(a for _, a in stack)
-        if token[2]:
+        if name == "head":
+            head = not token[3]
+            continue
+        head = head and bool(name in HEAD or token[3])
+        if head:
+            continue
+        if name in NOT_SVG and not token[3] and any(n == "svg" for n, _ in stack) and all(n != "foreignobject" for n, _ in stack):
+            while stack.pop()[0] != "svg":
+                pass
+        aside, drawn = any(a for _, a in stack), any(n == "svg" for n, _ in stack)
+        if token[3]:
             if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-        elif name not in VOID and not token[4].endswith("/"):
-            if name not in INLINE:  # a new block ends what was left open inside a paragraph
+        elif name not in VOID and not token[5].endswith("/"):
+            if name not in INLINE and not drawn:  # a new block ends what was left open inside a paragraph
                 while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE):
                     stack.pop()
             if name == "li" and any(n == "li" for n, _ in stack) and stack[-1][0] == "li":
                 stack.pop()
-            named = " ".join(a or b or c for a, b, c in _NAMED.findall(token[4]))
+            named = " ".join(a or b or c for a, b, c in _NAMED.findall(token[5]))
             own = name in ASIDE or bool(named and name not in ("html", "body", "article", "main") and NAMES.search(named))
             stack.append((name, own))
             aside = aside or own
-        yield f"tag {name}", "", name not in INLINE, aside
-    if at < len(page):
+        yield f"tag {name}", "", name not in INLINE and not drawn, aside
+    if at < len(page) and (not head or page[at:].strip()):
         k, aside = kind()
         yield k, page[at:], False, aside
 
