@@ -52,3 +52,18 @@ def test_absent_end_tags_and_icons_swallow_nothing():
     assert extract("<article><p>See <svg><path d='M0'/><text>no</text></svg>that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", {}) == "See that x=1 holds."
     assert extract("<p>Some words.</p><noscript><p>More words.", {}) == "Some words.\nMore words."
     assert extract("<p>Some words.</p><script>var no = 1;", {}) == "Some words."
+
+
+def test_names_of_wrappers_and_topics_lose_nothing():
+    article = "<article><h1>A title</h1><p>Fish and chips are good to eat.</p></article>"
+    for name in ("content with-sidebar", "layout-sidebar-right", "no-header", "has_comments", "widget", "sidebar"):
+        for page in (f"<body><div class='{name}'>{article}</div>", f"<body><div id={name.split()[-1]}><div class=x>{article}</div></div>"):
+            assert extract(page, {}) == "A title\nFish and chips are good to eat.", page
+            assert extract(page.replace("article", "div"), {}) == "A title\nFish and chips are good to eat.", page
+    for part in ("<section id='side-effects'>", "<section id=search-algorithms>", "<section id='search'>", "<div id='alert-levels'>", "<div class='related-work'>"):
+        for outer in ("article", "main"):
+            assert extract(f"<{outer}><p>One two three.</p>{part}<h2 id='related'>Head</h2><p>More words.</p></{part[1:8].split()[0].strip()}></{outer}>", {}) == "One two three.\nHead\nMore words."
+    for name in ("sidebar", "site-footer", "comment-list", "ad banner", "cookie-notice", "ad-slot-3", "main-nav-wrapper", "sidebar-left", "x Related-Posts"):
+        assert extract(f"<article><p>One two three.</p><div class='{name}'><p>No.</p></div><p>Four five six seven eight nine.</p></article>", {}) == "One two three.\nFour five six seven eight nine.", name
+    many = "<div id=comments>" + "<article><p>First, and a great read, all of it.</p></article>" * 9 + "</div>"
+    assert extract(f"<body><article><p>One two three.</p></article>{many}", {}) == "One two three."

@@ -5,7 +5,7 @@ that it stands in, and whether it is a link) for each word, a tag always scores
 of the largest sum is the content; one scan finds it. The weights are logarithmic odds of standing inside the
 labelled content, learnt from pages that label it themselves (exactly one <article> or <main> element); a kind that
 was never seen gets the weight of the nearest kind that was. Within the region, menus, notices, adverts, forms,
-comments and the like are left out by element and by the names in class, id and role.
+comments and the like are left out by element and by the names in class, id and role, unless a name would take the article itself.
 """
 
 from __future__ import annotations
@@ -36,20 +36,68 @@ INLINE = MATH | frozenset("svg a abbr acronym b bdi bdo big cite code data del d
 #: Elements and names (in class, id, role) that are never main text.
 ASIDE = frozenset("nav header footer aside form button select dialog menu svg".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscri\w+|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer|header|masthead|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|disqus|search|login|signup|pagination|pager|toolbar|contentinfo|complementary|navigation)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscri\w+|nav|navs|navbar|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|footer|header|masthead|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|disqus|search|login|signup|pagination|pager|toolbar|contentinfo|complementary|navigation)",
     re.I,
 )
+#: Parts of a name that only say what holds the thing, and parts that make the name say something of what is around it.
+HOLDERS = re.compile(r"(?:\d+|bar|box|form|list|lists|items?|links?|posts?|articles?|stories|wrap|wrapper|container|area|section|block|inner|outer|buttons?|icons?|panel|slot|unit|message|msg|text|body|content|title|left|right|top|bottom|primary|secondary|main|thread)", re.I)
+MODIFIERS = frozenset("with without has have no not is layout hide show open closed".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|<({SKIPPED})(?=[\s/>])[^>]*>(?:(?<!/>).*?</\2\s*>)?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLANK = re.compile(r"\s+")
 
-def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, parts, aside): text is "" for a tag; parts: the tag parts blocks; aside: never main text."""
+def says_aside(name: str) -> bool:
+    """Whether one token of class, id or role names an aside: as a whole, or by its last part but for holders, as in
+    site-footer, comment-list and ad-slot-3; with-sidebar, layout-sidebar-right, side-effects and no-header do not."""
+    parts = re.split(r"[-_]+", name.strip("-_"))
+    while len(parts) > 1 and HOLDERS.fullmatch(parts[-1]):
+        parts.pop()
+    return bool(NAMES.fullmatch(parts[-1])) and MODIFIERS.isdisjoint(x.lower() for x in parts)
+
+
+def named_aside(name: str, attributes: str, within: bool) -> bool:
+    """Whether class, id or role make an element an aside. Ids of headings, and of sections within <article> or <main>, name
+    what they are about."""
+    if name in ("html", "body", "article", "main"):
+        return False
+    topic = name in ("h1", "h2", "h3", "h4", "h5", "h6") or (within and name == "section")
+    return any(says_aside(x) for n, *v in _NAMED.findall(attributes) if not (topic and n.lower() == "id") for x in "".join(v).split())
+
+
+def units(page: str) -> list[tuple[str, str, bool, bool]]:
+    """(kind, text, parts, aside): text is "" for a tag; parts: the tag parts blocks; aside: never main text.
+
+    No name makes an aside of an element that holds the page's first <article> or <main>, or, on a page without these,
+    more than half of the words of its paragraphs."""
+    named: dict[int, list] = {}
+    found = list(_units(page, frozenset(), named))
+    if not named:
+        return found
+    total = named.pop(-1, [0, False])
+    spared = frozenset(at for at, (words, holds) in named.items() if holds or (not total[1] and 2 * words > total[0]))
+    return list(_units(page, spared, {})) if spared else found
+
+
+def _units(page: str, spared: frozenset[int], named: dict[int, list]) -> Iterator[tuple[str, str, bool, bool]]:
+    """units, with the elements at spared (places in the page) no asides by name. named gets for each element that is one
+    its paragraph words, and whether it holds the first <article> or <main>; at -1 the same of the whole page."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are asides
+    places: list[int] = []  # of each open element if it is an aside by name, else -1
+
+    def tell(words: int, holds: bool = False) -> None:
+        for place in {-1, *places}:
+            seen = named.setdefault(place, [0, False])
+            seen[0] += words
+            seen[1] |= holds
+
+    def leave() -> str:
+        places.pop()
+        return stack.pop()[0]
+
     at, head = 0, False  # head: nothing yet that cannot stand in <head>, whose end tag may be absent
 
     def kind() -> tuple[str, bool]:
@@ -63,6 +111,8 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         head = head and not page[at : token.start()].strip()
         if token.start() > at and not head:
             k, aside = kind()
+            if any(n == "p" for n, _ in stack):
+                tell(len(page[at : token.start()].split()))
             yield k, page[at : token.start()], False, aside
         at = token.end()
         name = (token[4] or "").lower()
@@ -75,26 +125,31 @@ def units(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if head:
             continue
         if name in NOT_SVG and not token[3] and any(n == "svg" for n, _ in stack) and all(n != "foreignobject" for n, _ in stack):
-            while stack.pop()[0] != "svg":
+            while leave() != "svg":
                 pass
         aside, drawn = any(a for _, a in stack), any(n == "svg" for n, _ in stack)
         if token[3]:
             if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+                while leave() != name:
                     pass
         elif name not in VOID and not token[5].endswith("/"):
             if name not in INLINE and not drawn:  # a new block ends what was left open inside a paragraph
                 while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE):
-                    stack.pop()
+                    leave()
             if name == "li" and any(n == "li" for n, _ in stack) and stack[-1][0] == "li":
-                stack.pop()
-            named = " ".join(a or b or c for a, b, c in _NAMED.findall(token[5]))
-            own = name in ASIDE or bool(named and name not in ("html", "body", "article", "main") and NAMES.search(named))
+                leave()
+            if name in ("article", "main") and not named.get(-1, [0, False])[1]:
+                tell(0, True)
+            by_name = name not in ASIDE and named_aside(name, token[5], any(n in ("article", "main") for n, _ in stack)) and token.start() not in spared
+            own = name in ASIDE or by_name
             stack.append((name, own))
+            places.append(token.start() if by_name else -1)
             aside = aside or own
         yield f"tag {name}", "", name not in INLINE and not drawn, aside
     if at < len(page) and (not head or page[at:].strip()):
         k, aside = kind()
+        if any(n == "p" for n, _ in stack):
+            tell(len(page[at:].split()))
         yield k, page[at:], False, aside
 
 
@@ -145,7 +200,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str | None, known: dict[str, float]) -> str:
-    parts = list(units(page or ""))
+    parts = units(page or "")
     # an aside is left out anyway: its words are worth nothing, so that it does not part what stands before and after
     number = lambda k, t: len(t.split()) if t else 1 if k.startswith("tag") else 0
     scores = [(-0.05 if k.startswith("tag") else 0.0) if aside else weight_of(k, known) * number(k, t) for k, t, _, aside in parts]
