@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of keys is broadcast up to this many rows (about 16 MB of longs); beyond, the join shuffles.
@@ -79,10 +79,6 @@ def checked(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,9 +94,22 @@ def free_name(df: DataFrame, wish: str) -> str:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined with groups, which has one row per key; `size` is the number of rows that the key has.
 
-    Keys of a thousandth of all rows or more number at most a thousand: their side is broadcast and their rows stay
-    where they are. The other keys are each below that share, and shuffle.
+    Keys of a thousandth of `total` rows or more number at most a thousand, as sizes add up to `total` at most: their
+    side is broadcast and their rows stay where they are. The other keys are each below that share, and they alone
+    shuffle.
     """
     least = max(1000, total // 1000)
     heavy, light = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
-    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(light, key))
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(others.join(light, key))
+
+
+def join_salted(rows: DataFrame, wide: DataFrame, key: str, salt: str, most: int = 2000) -> DataFrame:
+    """rows joined with wide, which has one row per key, too wide to broadcast: a key with more than `most` rows gets
+    a copy of its wide row for each `most` of them, among which the hash of column `salt` deals the rows."""
+    copies = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_copies"))
+    hot = copies.where("_copies > 1")
+    dealt = rows.join(F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot, key, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(salt), F.coalesce("_copies", F.lit(1)).cast("long")).cast("int")).drop("_copies")
+    spread = wide.join(copies, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    return dealt.join(spread, [key, "_part"]).drop("_part")

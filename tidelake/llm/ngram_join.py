@@ -1,20 +1,25 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 A document is its set of distinct word shingles, as 64-bit hashes; equal sets are one node. With a threshold t, a
-set of n shingles lacks at most m = n - ceil(t n) shingles of any partner, so partners share one of the first
-m + 1 shingles of a common order. The order is: rare shingles by hash, then frequent ones by hash. A shingle is
-frequent if more than `frequent` nodes hold it in their prefix (or hold it at all, among nodes whose prefix holds
-a frequent one). Rare shingles are indexed singly. Where a set has not enough of them, its prefix is extended into
-the frequent ones, which fall into G classes by hash: two shared shingles of one class are then enough, and pairs
-of prefix shingles of a class are indexed. A prefix with r rare and p_g frequent shingles of class g is long
-enough when r + sum(max(0, p_g - 1)) > m: however m of them are lost, a single or a pair survives. G depends on
-the size class only, and partners' size classes differ by one at most, so a set is indexed under its own and the
-next.
+set of n shingles lacks at most m = n - ceil(t n) shingles of any partner. Which shingles a set is indexed by is
+decided from its window, the part of the set with the smallest hashes: as long as its size class asks for
+(`window_end`), a quarter of a large set. A shingle is frequent if more than `frequent` windows hold it; that is
+counted once, over all windows. It is single for a size class if it is rare and its hash lies within that class's
+window, else paired.
+
+A set with more than m single shingles in its window is indexed by the first m + 1 of them, singly. One with fewer is
+indexed by all of them, and by pairs of paired ones: these fall into G classes by hash, two shared shingles of one
+class are enough, so pairs within a class are index keys. Paired shingles are taken in hash order until r +
+sum(max(0, p_g - 1)) > m, with r single and p_g paired shingles of class g: however m of them are lost, a single or
+a pair survives, and what survives of the set whose pairs end first lies within the other's. G and the windows
+depend on the size class alone, and partners' size classes differ by one at most, so a set makes pairs under its own
+class and the next. Windows hold enough for this whatever is frequent: m + 1 + G shingles always suffice.
 
 Buckets of the index name candidates without all their pairs: first every member meets its bucket's pivot (the one
-with the smallest part of rare shingles), links give components, and then only members of different components
-meet, if their sizes and their numbers of rare shingles allow it. Candidates are pruned by the part of the hash order that both prefixes cover (an
-exact bound) and then verified on whole sets. No link between different texts is lost.
+with the smallest part of single shingles), links give components, and then only members of different components
+meet, if their sizes and their numbers of single shingles allow it. Candidates are pruned by the part of the hash
+order that both windows cover (an exact bound) and then verified on whole sets. No link between different texts is
+lost.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import checked, discard, join_groups, small_batches, staged
+from tidelake.llm.common import BROADCAST_ROWS, checked, discard, join_groups, join_salted, small_batches, staged
 from tidelake.llm.components import components
 from tidelake.llm.fasthash import mix, segment_hashes, shingle_hashes
 
-#: Nodes in a bucket beyond which a shingle counts as frequent.
-FREQUENT = 32
+#: Windows that hold a shingle beyond which it counts as frequent; least threshold, in percent, that windows suffice for.
+FREQUENT, LEAST_PERCENT = 32, 75
+#: Members of a bucket, of one size class and in different components, that one task compares with the others.
+SPLIT = 500
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -71,21 +78,41 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]).astype(np.int64)))
 
 
-def long_prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The first m + 1 shingles by hash and half as many more, which may stand in for frequent ones; none if the set
-    is so small that it has no partner but its equals."""
+def size_class(n: int, percent: int) -> int:
+    """Classes are so wide that sizes of partners lie in one class or in neighbours."""
+    return math.floor(math.log(n) / math.log(100 / (percent - 0.1)))
+
+
+def pair_classes(c: int, percent: int) -> int:
+    """How many classes the paired shingles of a size class fall into."""
+    return max(1, math.floor((100 / (percent - 0.1)) ** c * (100 - percent) / 200))
+
+
+def window_end(c: int, percent: int) -> int:
+    """The largest hash in a size class's window: below it lie, but for chance, more than m + 1 shingles of a set."""
+    size = (100 / (percent - 0.1)) ** c
+    need = size * (100 - percent) / 100 + 1
+    return -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, (1.25 * need + 3 * math.sqrt(need) + 4) / size)))
+
+
+def window(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
+    """A sorted set's window, how many of it lie within its class's end, and whether more than m lie within the next
+    class's; an empty one for a set so small that it has no partner but its equals."""
     n = len(shingles)
-    need = spare(n, percent) + 1
-    alone = 100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n
-    return shingles[: 0 if alone else need + need // 2 + 8]
+    if n == 0 or (100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n):
+        return shingles[:0], 0, True
+    c, need = size_class(n, percent), spare(n, percent) + 1
+    within, sure = (int(np.searchsorted(shingles, window_end(x, percent), side="right")) for x in (c, c + 1))
+    return shingles[: max(within, need + max(pair_classes(c, percent), pair_classes(c + 1, percent)))], within, sure >= need
 
 
 def _sketch(k: int, percent: int):
     def sketch(batches):
         for ids, sets in _batches(batches, k):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            prefixes = [long_prefix(s, percent) for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], ["id", "n", "digest", "prefix"])
+            windows = [window(s, percent) for s in sets]
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([w[0] for w in windows]), pa.array([w[1] for w in windows], pa.int32()), pa.array([w[2] for w in windows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "prefix", "within", "plain"])
 
     return sketch
 
@@ -98,39 +125,40 @@ def _sets(k: int):
     return sets
 
 
-def combination_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The single and the paired index keys of a set of which `frequent` is a subset, and how many are rare."""
-    n = len(shingles)
-    rare = np.setdiff1d(shingles, frequent, assume_unique=True)
-    need = spare(n, percent) + 1
-    if len(rare) >= need:
-        return rare[:need], rare[:0], len(rare)
-    pairs = [rare[:0]]
-    base = 100 / (percent - 0.1)
-    own = math.floor(math.log(n) / math.log(base))
-    common = np.sort(frequent)
-    for size_class in (own, own + 1):
-        classes = max(1, math.floor(base**size_class * (100 - percent) / 100))
-        of = mix(common.view(np.uint64) + np.uint64(size_class)) % np.uint64(classes)
-        later = np.ones(len(common), bool)
+def combination_keys(n: int, prefix: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The single and the paired index keys of a set of n shingles with this window, of which `frequent` is a subset,
+    and how many single ones it has for sure (n, if it needs no pairs)."""
+    need, own = spare(n, percent) + 1, size_class(n, percent)
+    common = np.isin(prefix, frequent)
+    single = lambda c: ~common & (prefix <= window_end(c, percent))
+    sure = prefix[single(own + 1)]
+    if len(sure) >= need:
+        return sure[:need], sure[:0], n
+    pairs = [sure[:0]]
+    for c in (own, own + 1):
+        alone = single(c)
+        paired = prefix[~alone]
+        of = mix(paired.view(np.uint64) + np.uint64(c)) % np.uint64(pair_classes(c, percent))
+        later = np.ones(len(paired), bool)
         later[np.unique(of, return_index=True)[1]] = False  # the first of a class alone saves nothing
-        end = int(np.searchsorted(np.cumsum(later), need - len(rare))) + 1
+        end = int(np.searchsorted(np.cumsum(later), need - int(alone.sum()))) + 1
         order = np.argsort(of[:end], kind="stable")
-        prefix, of = common[:end][order].view(np.uint64), of[:end][order]
-        for gap in range(1, end):
+        taken, of = paired[:end][order].view(np.uint64), of[:end][order]
+        for gap in range(1, len(taken)):
             pair = of[gap:] == of[:-gap]
             if not pair.any():
                 break
-            pairs.append(mix(mix(prefix[:-gap][pair] + np.uint64(2 * size_class + 1)) ^ prefix[gap:][pair]).view(np.int64))
-    return rare, np.concatenate(pairs), len(rare)
+            pairs.append(mix(mix(taken[:-gap][pair] + np.uint64(2 * c + 1)) ^ taken[gap:][pair]).view(np.int64))
+    return prefix[single(own)], np.concatenate(pairs), len(sure)
 
 
 def _keys(percent: int):
     def keys(batches):
         for batch in batches:
-            ids, sets, common = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            made = [combination_keys(s, c, percent) for s, c in zip(sets, common, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), _lists([m[0] for m in made]), _lists([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64())], ["id", "n", "singles", "pairs", "rare"])
+            ids, sizes = batch.column(0), batch.column(1).to_pylist()
+            windows, common = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            made = [combination_keys(n, w, c, percent) for n, w, c in zip(sizes, windows, common, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), _lists([m[0] for m in made]), _lists([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64())], ["id", "n", "singles", "pairs", "rare"])
 
     return keys
 
@@ -151,74 +179,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have no shingles and no link. Rows with the same id are one document, of which the row with the most shingles
     counts. A row with a null id links with nothing and has a null component_id. Other columns are not read.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is from {LEAST_PERCENT} to 100")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    sketches = staged(texts.mapInArrow(_sketch(k, percent), f"id {id_type}, n long, digest binary, prefix array<long>"), "sketches")
+    sketches = staged(texts.mapInArrow(_sketch(k, percent), f"id {id_type}, n long, digest binary, prefix array<long>, within int, plain boolean"), "sketches")
     linkable = sketches.where("n > 0 and id is not null")
     repeats = not linkable.groupBy("id").count().where("count > 1").isEmpty()
     if repeats:
-        linkable = staged(linkable.groupBy("id").agg(F.max_by(F.struct("n", "digest", "prefix"), F.struct("n", "digest")).alias("s")).select("id", "s.*"), "sketches")
+        whole_row = F.struct("n", "digest", "prefix", "within", "plain")
+        linkable = staged(linkable.groupBy("id").agg(F.max_by(whole_row, F.struct("n", "digest")).alias("s")).select("id", "s.*"), "sketches")
     total = linkable.count()
 
     # equal sets are one node, their smallest id
     equal = staged(linkable.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size")).where("size > 1"), "equal")
     copies = staged(join_groups(linkable.select("id", "digest"), equal, "digest", "size", total).where("id <> node").select("id", "node"), "copies")
-    need = f"(n - ({percent} * n + 99) div 100 + 1)"
-    nodes = linkable.join(checked(copies.select("id")), "id", "left_anti").select("id", "n", "prefix", F.expr(need).cast("int").alias("need"))
-    postings = nodes.select("id", F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
-    longer = nodes.select("id", F.explode("prefix").alias("key"))
-    posted = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-
-    # which shingles are frequent: first by prefixes, then by all shingles of sets that have too few rare ones
-    def holders(keys: DataFrame) -> DataFrame:
-        return staged(join_groups(postings, keys, "key", "count", posted).select("id").distinct(), "ids")
-
-    def common_of(ids: DataFrame, keys: DataFrame) -> DataFrame:
-        """For the nodes of ids: n, prefix, need, and which of the prefix are among keys."""
-        theirs = join_groups(longer.join(checked(ids), "id", "left_semi"), keys, "key", "count", posted)
-        common = theirs.groupBy("id").agg(F.collect_list("key").alias("common"))
-        return staged(nodes.join(checked(ids), "id", "left_semi").join(common, "id").withColumn("left", F.array_except("prefix", "common")), "common")
-
-    def whole(ids: DataFrame) -> DataFrame:
-        found = texts.join(checked(ids), "id", "left_semi").mapInArrow(_sets(k), f"id {id_type}, n long, shingles array<long>")
-        return staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
+    need = F.expr(f"(n - ({percent} * n + 99) div 100 + 1)").cast("int")
+    nodes = linkable.join(checked(copies.select("id")), "id", "left_anti").select("id", "n", "prefix", "within", "plain", need.alias("need"))
 
+    # which shingles are frequent, and the sets that these, or chance, leave with too few others
+    postings = nodes.select("id", F.explode(F.slice("prefix", F.lit(1), F.col("within"))).alias("key"))
+    posted = nodes.agg(F.sum("within")).first()[0] or 0
     often = staged(postings.groupBy("key").count().where(F.col("count") > frequent), "often")
-    single = nodes.select("id", "n", F.lit(0).cast("long").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
-    index, sources = single, []
-    if not often.isEmpty():
-        near = holders(often)
-        by_prefix = common_of(near, often)
-        short = staged(by_prefix.where(F.size("left") < F.col("need")).select("id"), "ids")
-        discard(by_prefix)
-        sets = whole(short)
-        counted = longer.join(checked(near), "id", "left_semi").select("key").unionAll(sets.select(F.explode("shingles").alias("key")))
-        often = staged(often.unionAll(counted.groupBy("key").count().where(F.col("count") > frequent)).groupBy("key").agg(F.max("count").alias("count")), "often")
-        discard(sets)
-        near = holders(often)
-        by_prefix = common_of(near, often)
-        enough = F.size("left") >= F.col("need")
-        served = by_prefix.where(enough).select("id", "n", F.lit(0).cast("long").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("left", F.lit(1), F.col("need"))).alias("key"))
-        sets = whole(staged(by_prefix.where(~enough).select("id"), "ids"))
-        each = sets.select("id", F.explode("shingles").alias("key"))
-        theirs = join_groups(each, often, "key", "count", posted).groupBy("id").agg(F.collect_list("key").alias("common"))
-        combined = staged(sets.join(theirs, "id").select("id", "shingles", "common").mapInArrow(_keys(percent), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long"), "keys")
-        discard(sets)
-        sources = [by_prefix, combined]
-        part = (F.col("rare") / F.col("n")).alias("part")
-        alone = combined.select("id", "n", "rare", part, F.lit(False).alias("paired"), F.explode("singles").alias("key"))
-        paired = combined.select("id", "n", "rare", part, F.lit(True).alias("paired"), F.explode("pairs").alias("key"))
-        index = single.join(checked(near), "id", "left_anti").unionByName(served).unionByName(alone).unionByName(paired)
+    few = often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    theirs = postings.join(F.broadcast(often), "key") if few else join_groups(postings, often, "key", "count", posted)
+    theirs = theirs.groupBy("id").agg(F.collect_list("key").alias("common"))  # a part of one window
+    odd = nodes.join(theirs, "id", "left").where("common is not null or not plain").select("id", "n", "prefix", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+    combined = staged(odd.mapInArrow(_keys(percent), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long"), "keys")
+    single = nodes.join(checked(combined.select("id")), "id", "left_anti")
+    part = (F.col("rare") / F.col("n")).alias("part")
+    index = (
+        single.select("id", "n", F.col("n").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
+        .unionByName(combined.select("id", "n", "rare", part, F.lit(False).alias("paired"), F.explode("singles").alias("key")))
+        .unionByName(combined.select("id", "n", "rare", part, F.lit(True).alias("paired"), F.explode("pairs").alias("key")))
+    )
 
     buckets = index.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("part", "id", "n", "rare")).alias("p")).where("size > 1")
     buckets = staged(buckets.select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "buckets")
-    members = staged(join_groups(index.select("key", "id", "n", "rare", "paired"), buckets, "key", "size", posted), "members")
-
-    discard(buckets, *sources)
+    indexed = buckets.agg(F.sum("size")).first()[0] or 0
+    members = staged(join_groups(index.select("key", "id", "n", "rare", "paired"), buckets, "key", "size", indexed), "members")
+    discard(buckets, often, combined)
 
     def able(a: str, b: str):
-        """Whether members of one bucket may link. Sets that are indexed by pairs have all their rare shingles in the
+        """Whether members of one bucket may link. Sets that are indexed by pairs have all their single shingles in the
         index: if they share one they meet there, and if they share none, all of these are missing."""
         least = lambda n, m: F.col(n) - _least("a_n", "b_n", percent) >= F.col(m)
         return _fits("a_n", "b_n", percent) & (~F.col("paired") | (least("a_n", a) & least("b_n", b)))
@@ -226,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b, a_n, b_n), each once."""
         ends = lambda c, side: nodes.select(F.col("id").alias(side), F.col("prefix").alias(c))
-        seen = pairs.join(ends("pa", "a"), "a").join(ends("pb", "b"), "b")
+        seen = join_salted(join_salted(pairs, ends("pa", "a"), "a", "b"), ends("pb", "b"), "b", "a")
         last = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
         upto = lambda c: F.size(F.filter(c, lambda x: x <= last))
         shared = F.size(F.array_intersect("pa", "pb"))
@@ -236,7 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = able_pairs.select(F.col("a").alias("id")).unionAll(able_pairs.select("b")).distinct()
         found = texts.join(checked(staged(ids, "ids")), "id", "left_semi").mapInArrow(_sets(k), f"id {id_type}, n long, shingles array<long>")
         full = staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
-        both = able_pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        sets = lambda c, side: full.select(F.col("id").alias(side), F.col("shingles").alias(c))
+        both = join_salted(join_salted(able_pairs, sets("sa", "a"), "a", "b"), sets("sb", "b"), "b", "a")
         inter = F.size(F.array_intersect("sa", "sb"))
         links = staged(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
         discard(full, able_pairs)
@@ -250,11 +255,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = members.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = parts.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low <> high").select("key", "count")
     base = math.log(100 / (percent - 0.1))
-    loose = staged(join_groups(parts, split, "key", "count", posted).where("id <> pivot").select("key", "id", "n", "rare", "paired", "label", F.floor(F.log("n") / base).cast("int").alias("c")), "loose")
+    loose = staged(join_groups(parts, split, "key", "count", indexed).where("id <> pivot").select("key", "id", "n", "rare", "paired", "label", F.floor(F.log("n") / base).cast("int").alias("c")), "loose")
     discard(members)
     left = loose.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("la"), F.col("rare").alias("ra"), "paired", "c")
     right = loose.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("lb"), F.col("rare").alias("rb"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
-    rest = left.join(right, ["key", "c"]).where((F.col("la") < F.col("lb")) & able("ra", "rb"))
+    # a bucket with many loose members is split: each part has some of the left ones, and all of the right ones
+    big = loose.groupBy("key", "c").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    big = checked(staged(big, "split"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(big, ["key", "c"], "left").withColumn("part", F.pmod(F.xxhash64("a"), parts.cast("long")).cast("int")).drop("parts")
+    right = right.join(big, ["key", "c"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    rest = left.join(right, ["key", "c", "part"]).where((F.col("la") < F.col("lb")) & able("ra", "rb"))
     second = verified(rest.select("a", "b", "a_n", "b_n").distinct())
     discard(loose)
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
