@@ -63,7 +63,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing which is still to be computed reads."""
     for df in tables:
-        path = _path_of.pop(df)
+        path = _path_of.pop(df, None)
+        if path is None:
+            continue  # never written
         _written.remove((df.sparkSession, path))
         _delete(df.sparkSession, path)
 
@@ -98,6 +100,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     side is broadcast and their rows stay where they are. The other keys are each below that share, and they alone
     shuffle.
     """
+    if total < 1000:  # no key can have so many rows
+        return rows.join(groups, key)
     least = max(1000, total // 1000)
     heavy, light = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
     others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
@@ -113,3 +117,14 @@ def join_salted(rows: DataFrame, wide: DataFrame, key: str, salt: str, most: int
     dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(salt), F.coalesce("_copies", F.lit(1)).cast("long")).cast("int")).drop("_copies")
     spread = wide.join(copies, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
     return dealt.join(spread, [key, "_part"]).drop("_part")
+
+
+def join_split(few: DataFrame, many: DataFrame, key: str, most: int) -> DataFrame:
+    """few joined with many, either with any number of rows per key. A key that more than `most` rows of many hold is
+    split: these are dealt over parts of about so many, and each part gets a copy of the key's rows of few."""
+    hot = staged(many.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1"), "split-keys")
+    hot = checked(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = many.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), parts.cast("long")).cast("int")).drop("_parts")
+    spread = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return spread.join(dealt, [key, "_part"]).drop("_part")

@@ -23,15 +23,16 @@ def components(links: DataFrame) -> DataFrame:
     degrees = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"), F.min("b").alias("least"))
     labels = staged(degrees.select(F.col("b").alias("node"), F.least("b", "least").alias("label"), "degree"), "labels")
     n_nodes = labels.count()
-    while True:
+    kept = lambda df, label: staged(df, label) if n_nodes >= 1000 else df  # noqa: E731  small ones are computed again
+    while n_nodes:
         of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("near"), "degree")
         lowest = join_groups(both, of_b, "b", "degree", n_links).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        hooked = staged(labels.join(lowest, "node").withColumn("low", F.least("label", "near")), "hooked")
+        hooked = kept(labels.join(lowest, "node").withColumn("low", F.least("label", "near")), "hooked")
         # what an old label learns from any of its nodes reaches all of them by way of the label's own row
         learnt = hooked.groupBy("label").agg(F.min("low").alias("told"), F.count("*").alias("held"))
-        learnt = staged(learnt, "learnt")
+        learnt = kept(learnt, "learnt")
         new = join_groups(hooked.select("node", "degree", "label", "low"), learnt, "label", "held", n_nodes)
-        new = staged(new.select("node", "degree", F.col("label").alias("was"), F.least("low", "told").alias("mid")), "told")
+        new = kept(new.select("node", "degree", F.col("label").alias("was"), F.least("low", "told").alias("mid")), "told")
         jump = learnt.select(F.col("label").alias("mid"), F.col("told").alias("far"))
         jump = jump.join(new.groupBy("mid").agg(F.count("*").alias("held")), "mid", "right")
         jumped = join_groups(new, jump, "mid", "held", n_nodes)
@@ -39,5 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         changed = after.where("was <> label").count()
         discard(labels, hooked, learnt, new)
         if not changed:
+            discard(both)
             return after.select("node", "label")
         labels = after
+    return labels.select("node", "label")

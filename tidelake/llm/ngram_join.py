@@ -1,23 +1,22 @@
 """N-gram Jaccard self-join by token-combination prefixes.
 
 A document is its set of distinct word shingles, as 64-bit hashes; equal sets are one node. With a threshold t, a
-set of n shingles lacks at most m = n - ceil(t n) shingles of any partner. Which shingles a set is indexed by is
-decided from its window, the part of the set with the smallest hashes: as long as its size class asks for
-(`window_end`), a quarter of a large set. A shingle is frequent if more than `frequent` windows hold it; that is
-counted once, over all windows. It is single for a size class if it is rare and its hash lies within that class's
-window, else paired.
-
-A set with more than m single shingles in its window is indexed by the first m + 1 of them, singly. One with fewer is
-indexed by all of them, and by pairs of paired ones: these fall into G classes by hash, two shared shingles of one
-class are enough, so pairs within a class are index keys. Paired shingles are taken in hash order until r +
-sum(max(0, p_g - 1)) > m, with r single and p_g paired shingles of class g: however m of them are lost, a single or
-a pair survives, and what survives of the set whose pairs end first lies within the other's. G and the windows
-depend on the size class alone, and partners' size classes differ by one at most, so a set makes pairs under its own
-class and the next. Windows hold enough for this whatever is frequent: m + 1 + G shingles always suffice.
+set of n shingles lacks at most m = n - ceil(t n) shingles of any partner, so partners share one of the first
+m + 1 shingles of a common order. The order is: rare shingles by hash, then frequent ones by hash. The frequent ones
+are a table of bounded size (`TABLE`): shingles that more than `frequent` sets hold in their window (the part of the
+set with the smallest hashes, a quarter of a large one), or hold at all, among sets whose window is mostly frequent;
+if the table would be too large, that bound rises. Which shingles it lists decides what is done, not what is found.
+
+Rare shingles are indexed singly. Most sets have m + 1 of them in their window. The others are read whole; where even
+the whole set has not enough rare ones, its prefix is extended into the frequent ones, which fall into G classes by
+hash: two shared shingles of one class are then enough, and pairs of prefix shingles of a class are indexed. A prefix
+with r rare and p_g frequent shingles of class g is long enough when r + sum(max(0, p_g - 1)) > m: however m of them
+are lost, a single or a pair survives. G depends on the size class only, and partners' size classes differ by one at
+most, so a set is indexed under its own and the next.
 
 Buckets of the index name candidates without all their pairs: first every member meets its bucket's pivot (the one
-with the smallest part of single shingles), links give components, and then only members of different components
-meet, if their sizes and their numbers of single shingles allow it. Candidates are pruned by the part of the hash
+with the smallest part of rare shingles), links give components, and then only members of different components
+meet, if their sizes and their numbers of rare shingles allow it. Candidates are pruned by the part of the hash
 order that both windows cover (an exact bound) and then verified on whole sets. No link between different texts is
 lost.
 """
@@ -33,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import BROADCAST_ROWS, checked, discard, join_groups, join_salted, small_batches, staged
+from tidelake.llm.common import checked, discard, join_groups, join_salted, small_batches, staged
 from tidelake.llm.components import components
 from tidelake.llm.fasthash import mix, segment_hashes, shingle_hashes
 
-#: Windows that hold a shingle beyond which it counts as frequent; least threshold, in percent, that windows suffice for.
-FREQUENT, LEAST_PERCENT = 32, 75
+#: Windows that hold a shingle beyond which it counts as frequent; frequent shingles at most; least threshold in percent.
+FREQUENT, TABLE, LEAST_PERCENT = 32, 1_000_000, 62
 #: Members of a bucket, of one size class and in different components, that one task compares with the others.
 SPLIT = 500
 _WORD = np.ones(256, bool)
@@ -84,39 +83,48 @@ def size_class(n: int, percent: int) -> int:
 
 
 def pair_classes(c: int, percent: int) -> int:
-    """How many classes the paired shingles of a size class fall into."""
-    return max(1, math.floor((100 / (percent - 0.1)) ** c * (100 - percent) / 200))
+    """How many classes the frequent shingles of a size class fall into."""
+    return max(1, math.floor((100 / (percent - 0.1)) ** c * (100 - percent) / 100))
 
 
-def window_end(c: int, percent: int) -> int:
-    """The largest hash in a size class's window: below it lie, but for chance, more than m + 1 shingles of a set."""
-    size = (100 / (percent - 0.1)) ** c
-    need = size * (100 - percent) / 100 + 1
-    return -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, (1.25 * need + 3 * math.sqrt(need) + 4) / size)))
-
-
-def window(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
-    """A sorted set's window, how many of it lie within its class's end, and whether more than m lie within the next
-    class's; an empty one for a set so small that it has no partner but its equals."""
+def window(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, enough for m + 1 rare ones in most cases; none for a set so small that it has
+    no partner but its equals."""
     n = len(shingles)
-    if n == 0 or (100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n):
-        return shingles[:0], 0, True
-    c, need = size_class(n, percent), spare(n, percent) + 1
-    within, sure = (int(np.searchsorted(shingles, window_end(x, percent), side="right")) for x in (c, c + 1))
-    return shingles[: max(within, need + max(pair_classes(c, percent), pair_classes(c + 1, percent)))], within, sure >= need
+    need = spare(n, percent) + 1
+    alone = 100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n
+    return shingles[: 0 if alone else need + need // 2 + 8]
 
 
 def _sketch(k: int, percent: int):
     def sketch(batches):
         for ids, sets in _batches(batches, k):
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            windows = [window(s, percent) for s in sets]
-            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([w[0] for w in windows]), pa.array([w[1] for w in windows], pa.int32()), pa.array([w[2] for w in windows], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "prefix", "within", "plain"])
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([window(s, percent) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "prefix"])
 
     return sketch
 
 
+def _counted(k: int, most: int = 1_000_000):
+    """How many sets hold each shingle, added up within a task as far as `most` shingles allow."""
+
+    def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return distinct, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+    def count(batches):
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for _, sets in _batches(batches, k):
+            keys, counts = merge([keys, *sets], [counts, *(np.ones(len(s), np.int64) for s in sets)])
+            if len(keys) > most:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "count"])
+                keys, counts = keys[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "count"])
+
+    return count
+
+
 def _sets(k: int):
     def sets(batches):
         for ids, found in _batches(batches, k):
@@ -125,23 +133,23 @@ def _sets(k: int):
     return sets
 
 
-def combination_keys(n: int, prefix: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The single and the paired index keys of a set of n shingles with this window, of which `frequent` is a subset,
-    and how many single ones it has for sure (n, if it needs no pairs)."""
-    need, own = spare(n, percent) + 1, size_class(n, percent)
-    common = np.isin(prefix, frequent)
-    single = lambda c: ~common & (prefix <= window_end(c, percent))
-    sure = prefix[single(own + 1)]
-    if len(sure) >= need:
-        return sure[:need], sure[:0], n
-    pairs = [sure[:0]]
+def combination_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The single and the paired index keys of a whole set, given the sorted table of frequent shingles, and how many of
+    its shingles are rare."""
+    n = len(shingles)
+    common = np.zeros(n, bool)
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+    rare, need = shingles[~common], spare(n, percent) + 1
+    if len(rare) >= need:
+        return rare[:need], rare[:0], len(rare)
+    pairs, paired = [rare[:0]], shingles[common]
+    own = size_class(n, percent)
     for c in (own, own + 1):
-        alone = single(c)
-        paired = prefix[~alone]
         of = mix(paired.view(np.uint64) + np.uint64(c)) % np.uint64(pair_classes(c, percent))
         later = np.ones(len(paired), bool)
         later[np.unique(of, return_index=True)[1]] = False  # the first of a class alone saves nothing
-        end = int(np.searchsorted(np.cumsum(later), need - int(alone.sum()))) + 1
+        end = int(np.searchsorted(np.cumsum(later), need - len(rare))) + 1
         order = np.argsort(of[:end], kind="stable")
         taken, of = paired[:end][order].view(np.uint64), of[:end][order]
         for gap in range(1, len(taken)):
@@ -149,16 +157,14 @@ def combination_keys(n: int, prefix: np.ndarray, frequent: np.ndarray, percent:
             if not pair.any():
                 break
             pairs.append(mix(mix(taken[:-gap][pair] + np.uint64(2 * c + 1)) ^ taken[gap:][pair]).view(np.int64))
-    return prefix[single(own)], np.concatenate(pairs), len(sure)
+    return rare, np.concatenate(pairs), len(rare)
 
 
-def _keys(percent: int):
+def _keys(k: int, percent: int, frequent):
     def keys(batches):
-        for batch in batches:
-            ids, sizes = batch.column(0), batch.column(1).to_pylist()
-            windows, common = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            made = [combination_keys(n, w, c, percent) for n, w, c in zip(sizes, windows, common, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), _lists([m[0] for m in made]), _lists([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64())], ["id", "n", "singles", "pairs", "rare"])
+        for ids, sets in _batches(batches, k):
+            made = [combination_keys(s, frequent.value, percent) for s in sets]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), _lists([m[0] for m in made]), _lists([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64())], ["id", "n", "singles", "pairs", "rare"])
 
     return keys
 
@@ -181,14 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"percent is from {LEAST_PERCENT} to 100")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    sketches = staged(texts.mapInArrow(_sketch(k, percent), f"id {id_type}, n long, digest binary, prefix array<long>, within int, plain boolean"), "sketches")
+    sketches = staged(texts.mapInArrow(_sketch(k, percent), f"id {id_type}, n long, digest binary, prefix array<long>"), "sketches")
     linkable = sketches.where("n > 0 and id is not null")
     repeats = not linkable.groupBy("id").count().where("count > 1").isEmpty()
     if repeats:
-        whole_row = F.struct("n", "digest", "prefix", "within", "plain")
+        whole_row = F.struct("n", "digest", "prefix")
         linkable = staged(linkable.groupBy("id").agg(F.max_by(whole_row, F.struct("n", "digest")).alias("s")).select("id", "s.*"), "sketches")
     total = linkable.count()
 
@@ -196,21 +203,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = staged(linkable.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("size")).where("size > 1"), "equal")
     copies = staged(join_groups(linkable.select("id", "digest"), equal, "digest", "size", total).where("id <> node").select("id", "node"), "copies")
     need = F.expr(f"(n - ({percent} * n + 99) div 100 + 1)").cast("int")
-    nodes = linkable.join(checked(copies.select("id")), "id", "left_anti").select("id", "n", "prefix", "within", "plain", need.alias("need"))
-
-    # which shingles are frequent, and the sets that these, or chance, leave with too few others
-    postings = nodes.select("id", F.explode(F.slice("prefix", F.lit(1), F.col("within"))).alias("key"))
-    posted = nodes.agg(F.sum("within")).first()[0] or 0
-    often = staged(postings.groupBy("key").count().where(F.col("count") > frequent), "often")
-    few = often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    theirs = postings.join(F.broadcast(often), "key") if few else join_groups(postings, often, "key", "count", posted)
-    theirs = theirs.groupBy("id").agg(F.collect_list("key").alias("common"))  # a part of one window
-    odd = nodes.join(theirs, "id", "left").where("common is not null or not plain").select("id", "n", "prefix", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
-    combined = staged(odd.mapInArrow(_keys(percent), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long"), "keys")
-    single = nodes.join(checked(combined.select("id")), "id", "left_anti")
+    nodes = linkable.join(checked(copies.select("id")), "id", "left_anti").select("id", "n", "prefix", need.alias("need"))
+    postings = nodes.select("id", F.explode("prefix").alias("key"))
+
+    def bounded(counts: DataFrame) -> DataFrame:
+        """Keys and counts of the frequent ones, in a staged table of TABLE rows at most."""
+        counts, least = staged(counts.where(F.col("count") > frequent), "often"), frequent
+        while counts.where(F.col("count") > least).limit(TABLE + 1).count() > TABLE:
+            least *= 2
+        return counts.where(F.col("count") > least)
+
+    def read_whole(often: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, left) of nodes with frequent shingles in their window: what is left of it. And the ids of those whose
+        window then holds too few."""
+        theirs = postings.join(F.broadcast(often.select("key")), "key").groupBy("id").agg(F.collect_list("key").alias("common"))  # parts of a window
+        left = staged(nodes.join(theirs, "id").select("id", "n", "need", F.array_except("prefix", "common").alias("left")), "left")
+        return left, staged(left.where(F.size("left") < F.col("need")).select("id"), "ids")
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        """The texts of nodes; of rows that share an id, all are counted and one decides."""
+        return texts.join(checked(ids), "id", "left_semi")
+
+    often = bounded(postings.groupBy("key").count())
+    left, short = read_whole(often)
+    if not short.isEmpty():
+        deep = rows_of(short).mapInArrow(_counted(k), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+        often = bounded(often.unionAll(deep).groupBy("key").agg(F.max("count").alias("count")))
+        discard(left, short)
+        left, short = read_whole(often)
+    table = spark.sparkContext.broadcast(np.sort(often.select("key").toArrow()["key"].to_numpy()))
+    combined = rows_of(short).mapInArrow(_keys(k, percent, table), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long")
+    combined = staged(combined.groupBy("id").agg(F.max_by(F.struct("n", "singles", "pairs", "rare"), "n").alias("r")).select("id", "r.*") if repeats else combined, "keys")
+
+    def singly(rows: DataFrame, shingles: str) -> DataFrame:
+        return rows.select("id", "n", F.col("n").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice(shingles, F.lit(1), F.col("need"))).alias("key"))
+
     part = (F.col("rare") / F.col("n")).alias("part")
     index = (
-        single.select("id", "n", F.col("n").alias("rare"), F.lit(1.0).alias("part"), F.lit(False).alias("paired"), F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("key"))
+        singly(nodes.join(checked(left.select("id")), "id", "left_anti"), "prefix")
+        .unionByName(singly(left.where(F.size("left") >= F.col("need")), "left"))
         .unionByName(combined.select("id", "n", "rare", part, F.lit(False).alias("paired"), F.explode("singles").alias("key")))
         .unionByName(combined.select("id", "n", "rare", part, F.lit(True).alias("paired"), F.explode("pairs").alias("key")))
     )
@@ -219,10 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = staged(buckets.select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "buckets")
     indexed = buckets.agg(F.sum("size")).first()[0] or 0
     members = staged(join_groups(index.select("key", "id", "n", "rare", "paired"), buckets, "key", "size", indexed), "members")
-    discard(buckets, often, combined)
+    discard(buckets, left, combined)
+    table.destroy()
 
     def able(a: str, b: str):
-        """Whether members of one bucket may link. Sets that are indexed by pairs have all their single shingles in the
+        """Whether members of one bucket may link. Sets that are indexed by pairs have all their rare shingles in the
         index: if they share one they meet there, and if they share none, all of these are missing."""
         least = lambda n, m: F.col(n) - _least("a_n", "b_n", percent) >= F.col(m)
         return _fits("a_n", "b_n", percent) & (~F.col("paired") | (least("a_n", a) & least("b_n", b)))
