@@ -42,3 +42,21 @@ def test_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.com/", 3)], "page_id long, url string, fetched_at long")
     assert [r.blocked for r in evaluate(captures, none).collect()] == [False]
     assert evaluate(captures.limit(0), none).count() == 0
+
+
+def test_case_addresses_and_final_dots(spark):
+    entries = [("Ads.com", "c", 10, "add"), ("ads.com", "c", 20, "remove"), ("10.1.2.3", "ip", 1, "add"), ("2.3", "part", 1, "add"), ("b.org.", "dot", 1, "add"), ("[::1]", "six", 1, "add")]
+    captures = [(1, "http://ads.com/x", 50), (2, "http://ADS.com/x", 15), (3, "http://10.1.2.3/", 5), (4, "http://10.9.2.3/", 5), (5, "http://www.b.org./p", 5), (6, "http://[::1]:80/p", 5)]
+    found = evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, "pattern string, category string, listed_at long, action string"))
+    assert {r.page_id: r.matched_pattern for r in found.collect()} == {1: None, 2: "ads.com", 3: "10.1.2.3", 4: None, 5: "b.org", 6: "[::1]"}
+
+
+def test_a_hot_pattern_is_split(spark):
+    """Most captures have one host, whose entry is toggled many times, and one URL and time repeats."""
+    captures = [(i, f"http://a.com/{i}", i % 997) for i in range(3000)] + [(5000 + i, "http://a.com/same", 500) for i in range(2500)] + [(9000 + i, None, None) for i in range(50)]
+    entries = [("a.com", f"c{t}", t, "add" if t % 20 == 0 else "remove") for t in range(5, 1000, 5)]
+    found = evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, "pattern string, category string, listed_at long, action string")).collect()
+    assert len(found) == len(captures)
+    for r in found:
+        at = None if r.fetched_at is None else r.fetched_at // 5 * 5
+        assert r.listed_at == (at if at and at % 20 == 0 else None)
