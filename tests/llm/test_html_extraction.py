@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -67,3 +70,29 @@ def test_names_of_wrappers_and_topics_lose_nothing():
         assert extract(f"<article><p>One two three.</p><div class='{name}'><p>No.</p></div><p>Four five six seven eight nine.</p></article>", {}) == "One two three.\nFour five six seven eight nine.", name
     many = "<div id=comments>" + "<article><p>First, and a great read, all of it.</p></article>" * 9 + "</div>"
     assert extract(f"<body><article><p>One two three.</p></article>{many}", {}) == "One two three."
+
+
+WORDS = "one two three four five"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<head><title>T</title><body><p>{WORDS}</p>", WORDS),
+        (f'<div class="content no-sidebar"><article><p>{WORDS}</p></article></div>', WORDS),
+        (f'<div class="page with-comments"><article><p>{WORDS}</p></article></div>', WORDS),
+        (f'<div class="post share-enabled"><p>{WORDS}</p></div><p>x y z</p>', f"{WORDS}\nx y z"),
+        (f"<article><p>{WORDS} <math><mi>x</mi></math> six</p></article>", f"{WORDS} x six"),
+        (f'<article><p title="a>b">{WORDS}</p><p>six</p></article>', f"{WORDS}\nsix"),
+        (f'<p>{WORDS}</p><i title="<b>six</b>', f"{WORDS}\nsix"),
+    ],
+)
+def test_whole_articles_stay(page, text):
+    assert extract(page, {}) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "a b c" + "</div>" * 100_000, '<a href="x>' * 90_000, "<a b='" * 150_000, "<noscript>" * 100_000, "<div class=ad>" * 70_000 + "<p>a b</p>" * 1000, "<" * 1_000_000, '<a b="c>" ' * 100_000, "<svg>" * 200_000])
+def test_a_page_of_a_megabyte_takes_linear_time(page):
+    began = time.perf_counter()
+    extract(page, {})
+    assert time.perf_counter() - began < 10

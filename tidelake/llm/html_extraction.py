@@ -27,7 +27,7 @@ LABELLED_PAGES = 2000
 #: Fixed names of HTML: elements without an end tag, whose content is not text, and that do not part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that runs to the end of the page without an end tag, and that is skipped only up to one.
-RAW, SKIPPED = "script|style|textarea", "noscript|template|iframe|title"
+RAW, SKIPPED = frozenset("script style textarea".split()), frozenset("noscript template iframe title".split())
 HEAD = frozenset("head html base basefont bgsound link meta".split())
 MATH = frozenset("math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 #: Elements that end an <svg> that was left open.
@@ -42,11 +42,8 @@ NAMES = re.compile(
 #: Parts of a name that only say what holds the thing, and parts that make the name say something of what is around it.
 HOLDERS = re.compile(r"(?:\d+|bar|box|form|list|lists|items?|links?|posts?|articles?|stories|wrap|wrapper|container|area|section|block|inner|outer|buttons?|icons?|panel|slot|unit|message|msg|text|body|content|title|left|right|top|bottom|primary|secondary|main|thread)", re.I)
 MODIFIERS = frozenset("with without has have no not is layout hide show open closed".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|<({SKIPPED})(?=[\s/>])[^>]*>(?:(?<!/>).*?</\2\s*>)?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_OPEN, _STOP = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile(r">|=\s*([\"'])")
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW | SKIPPED}
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLANK = re.compile(r"\s+")
 
@@ -68,89 +65,158 @@ def named_aside(name: str, attributes: str, within: bool) -> bool:
     return any(says_aside(x) for n, *v in _NAMED.findall(attributes) if not (topic and n.lower() == "id") for x in "".join(v).split())
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of each tag, and with an empty name of what is skipped: comments,
+    declarations, scripts and the like with their content. One pass: what was once sought in vain is not sought again,
+    so that open quotes and open elements cost no more than others. A quote that nothing closes is a letter."""
+    at, vain = 0, set()
+
+    def tag_end(i: int) -> int:
+        while stop := _STOP.search(page, i):
+            i, quote = stop.end(), stop[1]
+            if not quote:
+                return i
+            if quote not in vain:
+                close = page.find(quote, i)
+                if close < 0:
+                    vain.add(quote)
+                else:
+                    i = close + 1
+        return -1
+
+    while (at := page.find("<", at)) >= 0 and ">" not in vain:
+        start, found = at, _OPEN.match(page, at)
+        at += 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, False, "", ""
+        elif found:
+            name, end = found[2].lower(), tag_end(found.end())
+            if end < 0:  # from here on no tag ends outside of quotes: quotes are letters
+                vain.update("\"'")
+                end = tag_end(found.end())
+            if end < 0:
+                vain.add(">")
+                continue
+            at = end
+            if found[1] or name not in _CLOSE:
+                yield start, at, bool(found[1]), name, page[found.end() : end - 1]
+                continue
+            if name in RAW or (page[end - 2] != "/" and name not in vain):
+                close = _CLOSE[name].search(page, end)
+                if close:
+                    at = close.end()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    vain.add(name)
+            yield start, at, False, "", ""
+        elif page[at : at + 1] in ("!", "?", "/"):
+            end = page.find(">", at)
+            if end < 0:
+                return
+            at = end + 1
+            yield start, at, False, "", ""
+
+
+class Open:
+    """The open elements, with running counts of what is asked about them, so that depth costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, tuple[int, int, int]]] = []  # name, whether it is an aside, and (place, words, labels) at its start
+        self.asides: list[str] = []
+        self.blocks: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.words, self.labels = 0, 0  # of paragraphs, and <article> or <main>, so far
+        self.named: dict[int, tuple[int, bool]] = {}
+
+    def enter(self, name: str, aside: bool, place: int) -> None:
+        self.stack.append((name, aside, (place, self.words, self.labels)))
+        self.count[name] += 1
+        if aside:
+            self.asides.append(name)
+        if name not in INLINE:
+            self.blocks.append(name)
+
+    def leave(self) -> str:
+        name, aside, (place, words, labels) = self.stack.pop()
+        self.count[name] -= 1
+        if aside:
+            self.asides.pop()
+        if name not in INLINE:
+            self.blocks.pop()
+        if place >= 0:
+            self.named[place] = self.words - words, labels == 0 < self.labels
+        return name
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def kind(self) -> tuple[str, bool]:
+        if self.asides:
+            return f"aside {self.asides[0]}", True
+        return f"text {self.blocks[-1] if self.blocks else 'body'}" + (" link" if self.count["a"] else ""), False
+
+
 def units(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, text, parts, aside): text is "" for a tag; parts: the tag parts blocks; aside: never main text.
 
     No name makes an aside of an element that holds the page's first <article> or <main>, or, on a page without these,
     more than half of the words of its paragraphs."""
-    named: dict[int, list] = {}
-    found = list(_units(page, frozenset(), named))
-    if not named:
-        return found
-    total = named.pop(-1, [0, False])
-    spared = frozenset(at for at, (words, holds) in named.items() if holds or (not total[1] and 2 * words > total[0]))
-    return list(_units(page, spared, {})) if spared else found
-
-
-def _units(page: str, spared: frozenset[int], named: dict[int, list]) -> Iterator[tuple[str, str, bool, bool]]:
-    """units, with the elements at spared (places in the page) no asides by name. named gets for each element that is one
-    its paragraph words, and whether it holds the first <article> or <main>; at -1 the same of the whole page."""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are asides
-    places: list[int] = []  # of each open element if it is an aside by name, else -1
-
-    def tell(words: int, holds: bool = False) -> None:
-        for place in {-1, *places}:
-            seen = named.setdefault(place, [0, False])
-            seen[0] += words
-            seen[1] |= holds
-
-    def leave() -> str:
-        places.pop()
-        return stack.pop()[0]
+    seen = Open()
+    found = list(_units(page, frozenset(), seen))
+    spared = frozenset(at for at, (words, holds) in seen.named.items() if holds or (not seen.labels and 2 * words > seen.words))
+    return list(_units(page, spared, Open())) if spared else found
 
+
+def _units(page: str, spared: frozenset[int], now: Open) -> Iterator[tuple[str, str, bool, bool]]:
+    """units, with the elements at spared (places in the page) no asides by name. now ends with, for each element that is
+    one, its paragraph words, and whether it holds the first <article> or <main>."""
     at, head = 0, False  # head: nothing yet that cannot stand in <head>, whose end tag may be absent
 
-    def kind() -> tuple[str, bool]:
-        aside = next((n for n, a in stack if a), None)
-        if aside:
-            return f"aside {aside}", True
-        block = next((n for n, _ in reversed(stack) if n not in INLINE), "body")
-        return f"text {block}" + (" link" if any(n == "a" for n, _ in stack) else ""), False
-
-    for token in _TOKEN.finditer(page):
-        head = head and not page[at : token.start()].strip()
-        if token.start() > at and not head:
-            k, aside = kind()
-            if any(n == "p" for n, _ in stack):
-                tell(len(page[at : token.start()].split()))
-            yield k, page[at : token.start()], False, aside
-        at = token.end()
-        name = (token[4] or "").lower()
+    def text(end: int) -> tuple[str, str, bool, bool]:
+        kind, aside = now.kind()
+        if now.count["p"]:
+            now.words += len(page[at:end].split())
+        return kind, page[at:end], False, aside
+
+    for start, end, closes, name, attributes in tokens(page):
+        head = head and not page[at:start].strip()
+        if start > at and not head:
+            yield text(start)
+        at = end
         if not name:
             continue
         if name == "head":
-            head = not token[3]
+            head = not closes
             continue
-        head = head and bool(name in HEAD or token[3])
+        head = head and bool(name in HEAD or closes)
         if head:
             continue
-        if name in NOT_SVG and not token[3] and any(n == "svg" for n, _ in stack) and all(n != "foreignobject" for n, _ in stack):
-            while leave() != "svg":
+        if name in NOT_SVG and not closes and now.count["svg"] and not now.count["foreignobject"]:
+            while now.leave() != "svg":
                 pass
-        aside, drawn = any(a for _, a in stack), any(n == "svg" for n, _ in stack)
-        if token[3]:
-            if any(n == name for n, _ in stack):
-                while leave() != name:
+        aside, drawn = bool(now.asides), bool(now.count["svg"])
+        if closes:
+            if now.count[name]:
+                while now.leave() != name:
                     pass
-        elif name not in VOID and not token[5].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             if name not in INLINE and not drawn:  # a new block ends what was left open inside a paragraph
-                while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE):
-                    leave()
-            if name == "li" and any(n == "li" for n, _ in stack) and stack[-1][0] == "li":
-                leave()
-            if name in ("article", "main") and not named.get(-1, [0, False])[1]:
-                tell(0, True)
-            by_name = name not in ASIDE and named_aside(name, token[5], any(n in ("article", "main") for n, _ in stack)) and token.start() not in spared
-            own = name in ASIDE or by_name
-            stack.append((name, own))
-            places.append(token.start() if by_name else -1)
-            aside = aside or own
+                while now.stack and (now.top() == "p" or now.top() in INLINE):
+                    now.leave()
+            if name == "li" and now.top() == "li":
+                now.leave()
+            by_name = name not in ASIDE and start not in spared and named_aside(name, attributes, bool(now.count["article"] or now.count["main"]))
+            aside = aside or name in ASIDE or by_name
+            now.labels += name in ("article", "main")
+            now.enter(name, name in ASIDE or by_name, start if by_name else -1)
         yield f"tag {name}", "", name not in INLINE and not drawn, aside
     if at < len(page) and (not head or page[at:].strip()):
-        k, aside = kind()
-        if any(n == "p" for n, _ in stack):
-            tell(len(page[at:].split()))
-        yield k, page[at:], False, aside
+        yield text(len(page))
+    while now.stack:
+        now.leave()
 
 
 def count_kinds(page: str) -> tuple[Counter, Counter]:
