@@ -43,7 +43,8 @@ def test_every_document_comes_back(spark):
     steps = defaultdict(int)
     for w in windows.values():
         steps[w[0].step_group] += w[0].sequence_length
-    assert all(t <= 17 * 1024 for t in steps.values())
+    last = {max(g for g in steps if g >> 40 == task) for task in {g >> 40 for g in steps}}
+    assert all(15 * 1024 < t < 17 * 1024 or (g in last and t < 17 * 1024) for g, t in steps.items())
 
 
 def test_odd_rows(spark):
@@ -55,6 +56,12 @@ def test_odd_rows(spark):
     assert twice == 2
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "a" * 1_000_000, "x\t" + "\n \u3000" * 50_000 + "y", "ab1!" * 300_000])
+def test_very_long_runs(text):
+    both = Encoder(*vocabulary())
+    assert np.array_equal(both.encode(text), both.exact.encode(text, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("text", ["Hello, world's  end \n\n x", "1234567 ½ ²", "naïve café 中文字 العربية", "a b c", "'S 'LL don't"])
 def test_both_tokenizers_agree(text):
     both = Encoder(*vocabulary())

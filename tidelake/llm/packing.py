@@ -4,10 +4,12 @@ A document's ids are cut into full windows of the longest tier; what is left is
 holds it. A left-over of the longest tier opens a window whose gap is filled from the shorter tiers, longest first,
 the last piece cut to fit. What the gaps leave is packed tier by tier into full windows of that tier, and the very
 last pieces of a task into windows whose lengths are powers of two, so that no window needs padding. Step groups
-take windows in this order until a fixed number of tokens is full, which balances them.
+take windows in this order until a fixed number of tokens is full, which balances them: a group holds that number,
+give or take less than one longest window, but for the last group of each task, which may hold less.
 
 Every task packs the rows that it reads, with no shuffle, and holds a bounded number of open pieces: pools beyond
-`POOL` pieces are packed at once. A retried task reads the same rows in the same order and so gives the same ids.
+`POOL` pieces are packed at once. A retried task gives the same pieces if it reads the same rows in the same order, as
+scans of files do; rows that come from a shuffle have no such order and are to be written first (`common.staged`).
 """
 
 from __future__ import annotations
@@ -162,8 +164,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, id_col: str = "doc_id", t
 
     A document is the ids of its text and then `end`; each id lies in exactly one piece, each window is full, and
     its length is one of the tiers or, at a task's end, a smaller power of two. A null or empty text is the id
-    `end` alone. Null ids and repeated rows are documents of their own; other columns are not read. vocabulary
-    and ranks are file paths on every executor.
+    `end` alone. Null ids and repeated rows are documents of their own; other columns are not read, an empty table
+    gives no piece. vocabulary and ranks are file paths on every executor. docs is to be a scan of files, see above.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
