@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,20 +13,33 @@ SCHEME_ALIASES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss", "wasb"
 RESERVED = {"null": "%6Eull", "absent": "%61bsent"}
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalize(path: Column) -> Column:
     """One spelling per object: lower-case scheme without aliases, single slashes, none at the end. A local path may
     have one or three slashes after `file:`; both become three."""
-    parts = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), r"/+$", "")
-    scheme = F.lower(F.regexp_extract(parts, r"^([A-Za-z][A-Za-z0-9+.-]*):/", 1))
-    aliases = F.create_map(*[F.lit(x) for pair in {**SCHEME_ALIASES, "file": "file:///"}.items() for x in pair])
-    name = F.coalesce(F.try_element_at(aliases, scheme), scheme)
-    rest = F.regexp_replace(parts, r"^[A-Za-z][A-Za-z0-9+.-]*:/", "")
-    return F.when(scheme == "", parts).when(scheme == "file", F.concat(name, rest)).otherwise(F.concat(name, F.lit("://"), rest))
+    aliases = F.create_map(*[F.lit(x) for pair in SCHEME_ALIASES.items() for x in pair])
+
+    def spelled(parts: Column) -> Column:
+        scheme = F.lower(F.substring_index(parts, ":/", 1))
+        rest = F.substring(parts, F.locate(":/", parts) + 2, F.length(parts))
+        name = F.when(scheme == "file", F.lit("file:///")).otherwise(F.concat(F.coalesce(F.try_element_at(aliases, scheme), scheme), F.lit("://")))
+        return F.when(parts.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), F.concat(name, rest)).otherwise(parts)
+
+    return _bound(F.regexp_replace(path, "/(?=/)|/$", ""), spelled)
+
+
+def below(location: Column, path: Column) -> Column:
+    """Whether a normalised path lies below a normalised location, by whole segments."""
+    return F.startswith(path, F.concat(location, F.lit("/")))
 
 
 def is_inside(location: Column, path: Column) -> Column:
     """Whether a path lies below a location, by whole segments; a location is not inside itself."""
-    return F.startswith(normalize(path), F.concat(normalize(location), F.lit("/")))
+    return below(normalize(location), normalize(path))
 
 
 def escape(value: Column) -> Column:
@@ -63,7 +76,10 @@ def partition_key(fields: Sequence[tuple[str, Column | None, str]]) -> Column:
 
 def nested_root(location: Column, path: Column) -> Column:
     """The root of another table, if a path is one of its metadata documents below this location; else null."""
-    base, whole = normalize(location), normalize(path)
-    rel = F.when(F.startswith(whole, F.concat(base, F.lit("/"))), F.substring(whole, F.length(base) + 2, F.lit(1 << 30)))
-    at = F.locate("/metadata/", rel)
-    return F.when(rel.endswith(".metadata.json") & (at > 1), F.concat(base, F.lit("/"), F.substring(rel, F.lit(1), at - 1)))
+    base = normalize(location)
+
+    def root(rel: Column) -> Column:
+        at = F.locate("/metadata/", rel)
+        return F.when(rel.endswith(".metadata.json") & (at > 1), F.concat(base, F.lit("/"), F.substring(rel, F.lit(1), at - 1)))
+
+    return _bound(normalize(path), lambda whole: F.when(below(base, whole), _bound(F.substring(whole, F.length(base) + 2, F.lit(1 << 30)), root)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,19 +18,45 @@ def applicable(files: DataFrame, deletes: DataFrame, data_columns: Sequence[str]
     """Every pair of a data file and a delete file that applies to it: data columns, delete_path, content, delete_seq.
 
     Deletes of a partition meet its files by (spec, partition) and a condition on sequence numbers. Equality deletes
-    of an unpartitioned spec (null partition) are global: for a data file those that are newer count, so they meet
-    by sequence number, of which there are few, and not file by file.
+    of an unpartitioned spec (null partition) are global: a data file meets those that are newer. Data sequence numbers
+    are numbered in order; a delete is listed under each number below its own, and files meet it by equality. There are
+    as many rows as pairs; where counts are enough, delete_counts lists none.
     """
     marks = deletes.select(F.col("path").alias("delete_path"), "content", F.col("spec_id").alias("d_spec"), F.col("part_key").alias("d_part"), F.col("seq").alias("delete_seq"))
     columns = [*data_columns, "delete_path", "content", "delete_seq"]
     local = marks.where("d_part is not null")
     scoped = files.join(local, (files["spec_id"] == local["d_spec"]) & (files["part_key"] == local["d_part"])).where(applies(F.col("content"), F.col("delete_seq"), F.col("seq"))).select(columns)
     everywhere = marks.where("d_part is null and content = 'equality'")
-    older = files.select("seq").distinct().join(everywhere, F.col("delete_seq") > F.col("seq")).select(F.col("seq").alias("of_seq"), "delete_path", "content", "delete_seq")
-    world = files.join(older, files["seq"] == older["of_seq"]).select(columns)
+    numbers = files.where("seq is not null").select("seq").distinct().withColumn("number", F.row_number().over(Window.orderBy("seq")))
+    # a delete comes before the data of its own sequence number, so that it sees the last smaller one
+    line = numbers.select("seq", "number").unionByName(everywhere.select(F.col("delete_seq").alias("seq"), "delete_path").distinct(), allowMissingColumns=True)
+    upto = F.max("number").over(Window.orderBy("seq", F.col("delete_path").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reach = line.withColumn("upto", upto).where("delete_path is not null and upto is not null").select("delete_path", F.col("seq").alias("delete_seq"), F.explode(F.sequence(F.lit(1), "upto")).alias("number"))
+    world = files.join(numbers, "seq").join(reach, "number").withColumn("content", F.lit("equality")).select(columns)
     return scoped.unionByName(world)
 
 
+def delete_counts(files: DataFrame, deletes: DataFrame) -> DataFrame:
+    """files with `equality` and `position`, the numbers of delete files that apply, and `newest`, the largest sequence
+    number among them (null if there is none). No pair of a data file and a delete file is made: per partition, and
+    once for the global deletes, running counts over the distinct sequence numbers say how many are newer."""
+    scope = ["spec_id", "part_key"]
+
+    def newer(marks: DataFrame, seqs: DataFrame, by: list[str], name: str) -> DataFrame:
+        rows = marks.groupBy(*by, "seq").agg(F.count_if(F.col("content") == "equality").alias("e"), F.count_if(F.col("content") == "position").alias("p"))
+        rows = seqs.join(rows, [*by, "seq"], "full").fillna(0, ["e", "p"])
+        down = Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        above = Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+        newest = F.greatest(F.max(F.when(F.col("e") > 0, F.col("seq"))).over(above), F.max(F.when(F.col("p") > 0, F.col("seq"))).over(down))
+        return rows.select(*by, "seq", F.coalesce(F.sum("e").over(above), F.lit(0)).alias(f"{name}_e"), F.sum("p").over(down).alias(f"{name}_p"), newest.alias(f"{name}_newest"))
+
+    local = newer(deletes.where("part_key is not null and seq is not null"), files.select(*scope, "seq").where("part_key is not null and seq is not null").distinct(), scope, "local")
+    world = newer(deletes.where("part_key is null and content = 'equality' and seq is not null"), files.select("seq").where("seq is not null").distinct(), [], "world")
+    rows = files.join(local, [*scope, "seq"], "left").join(world, "seq", "left")
+    total = lambda c: F.coalesce(F.col(f"local_{c}"), F.lit(0)) + F.coalesce(F.col(f"world_{c}"), F.lit(0))
+    return rows.select(*files.columns, total("e").cast("bigint").alias("equality"), F.coalesce("local_p", F.lit(0)).cast("bigint").alias("position"), F.greatest("local_newest", "world_newest").alias("newest"))
+
+
 def without_keys(rows: DataFrame, deleted: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
     """rows whose key columns equal no row of deleted, nulls being equal. Equalities stay top-level conjuncts, so that
     the join is by hash or sort, never nested loops."""

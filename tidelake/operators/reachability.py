@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.functions.paths import is_inside, nested_root, normalize
+from tidelake.functions.paths import below, nested_root, normalize
+from tidelake.sources.storage import shared
 
 
 def reachable(data: DataFrame, manifests: DataFrame, manifest_lists: DataFrame, statistics: DataFrame, documents: DataFrame) -> DataFrame:
@@ -21,38 +22,69 @@ def reachable(data: DataFrame, manifests: DataFrame, manifest_lists: DataFrame,
 def now_unreachable(before: DataFrame, after: DataFrame, location: str) -> DataFrame:
     """What an expiration leaves behind: reachable before, not after, inside the location, never a table document."""
     gone = before.where("kind <> 'metadata_json'").select("norm_path").subtract(after.select("norm_path"))
-    return gone.where(is_inside(F.lit(location), F.col("norm_path")))
+    return gone.where(below(normalize(F.lit(location)), F.col("norm_path")))
 
 
 def retained(snapshots: DataFrame, now_ms: int, max_age_ms: int, keep: int) -> DataFrame:
     """snapshots (snapshot_id, parent_id, timestamp_ms, head) with `kept` and `depth` in the ancestry of its head.
 
     From each branch head (rows where head is true) the ancestry is walked by joins, one round per doubling of the
-    distance; the newest `keep` snapshots of a branch and those younger than the age stay, and so does a head.
+    distance, with one pointer per snapshot; the newest `keep` snapshots of a branch and those younger than the age
+    stay, and so does a head. A parent that is not there ends the walk; ids do not repeat.
     """
-    edges = snapshots.select("snapshot_id", "parent_id")
-    jump = edges.where("parent_id is not null").join(edges.select(F.col("snapshot_id").alias("parent_id")), "parent_id", "left_semi").select(F.col("snapshot_id").alias("x"), F.col("parent_id").alias("y"), F.lit(1).alias("d"))
-    depth = snapshots.where("head").select("snapshot_id", F.lit(0).alias("depth"))
-    steps, seen = 1, depth.count()
-    while True:
-        far = depth.join(jump, F.col("snapshot_id") == F.col("x")).select(F.col("y").alias("snapshot_id"), (F.col("depth") + F.col("d")).alias("depth"))
-        wider = depth.unionByName(far).groupBy("snapshot_id").agg(F.min("depth").alias("depth")).checkpoint()
-        now = wider.count()
-        if now == seen and steps > 1:
-            break
-        depth, seen, steps = wider, now, steps * 2
-        jump = jump.unionByName(jump.alias("a").join(jump.alias("b"), F.col("a.y") == F.col("b.x")).select(F.col("a.x").alias("x"), F.col("b.y").alias("y"), (F.col("a.d") + F.col("b.d")).alias("d"))).groupBy("x", "y").agg(F.min("d").alias("d")).checkpoint()
+    depth = ancestry(snapshots, snapshots.where("head").select("snapshot_id")).groupBy("snapshot_id").agg(F.min("depth").alias("depth"))
     rows = snapshots.join(depth, "snapshot_id", "left")
     kept = F.coalesce(F.col("depth") < keep, F.lit(False)) | F.coalesce(F.col("depth").isNotNull() & (F.lit(now_ms) - F.col("timestamp_ms") <= max_age_ms), F.lit(False)) | F.col("head")
     return rows.withColumn("kept", kept)
 
 
+def ancestry(snapshots: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, snapshot_id, depth): every head with itself (0), its parent (1) and so on. A round doubles the distance
+    that a snapshot's one pointer spans and follows it from all that is marked, so rounds grow with its logarithm."""
+    ids = snapshots.select(F.col("snapshot_id").alias("to"))
+    pointer = shared(snapshots.where("parent_id is not null and parent_id <> snapshot_id").select("snapshot_id", F.col("parent_id").alias("to")).join(ids, "to", "left_semi"), "pointers")
+    marked = shared(heads.select(F.col("snapshot_id").alias("head"), "snapshot_id", F.lit(0).alias("depth")), "ancestry")
+    span, most = 1, snapshots.count()
+    while span <= most and not pointer.isEmpty():
+        far = marked.join(pointer, "snapshot_id").select("head", F.col("to").alias("snapshot_id"), (F.col("depth") + span).alias("depth"))
+        marked = shared(marked.unionByName(far), "ancestry")
+        onward = pointer.select(F.col("snapshot_id").alias("to"), F.col("to").alias("next"))
+        pointer = shared(pointer.join(onward, "to").select("snapshot_id", F.col("next").alias("to")), "pointers")
+        span *= 2
+    return marked
+
+
+def retained_by_refs(snapshots: DataFrame, refs: DataFrame, now_ms: int, max_age_ms: int, keep: int) -> DataFrame:
+    """snapshots (snapshot_id, parent_id, timestamp_ms) with `kept`, under refs (name, kind, snapshot_id, max_ref_age_ms,
+    max_snapshot_age_ms, min_to_keep; kind is branch or tag, the last three may be null and then fall back to no age,
+    max_age_ms, keep).
+
+    A ref other than main goes when its snapshot is older than its own age. Of each branch that stays, the newest
+    snapshots up to its number and those younger than its age are kept; of each tag its snapshot; and of snapshots
+    that no branch or tag reaches those younger than max_age_ms.
+    """
+    age = lambda c: F.lit(now_ms) - F.col(c)
+    at = refs.join(snapshots.select("snapshot_id", "timestamp_ms"), "snapshot_id")
+    live = at.where((F.col("name") == "main") | F.col("max_ref_age_ms").isNull() | (age("timestamp_ms") <= F.col("max_ref_age_ms")))
+    live = shared(live.select("kind", "snapshot_id", F.coalesce("max_snapshot_age_ms", F.lit(max_age_ms)).alias("age"), F.coalesce("min_to_keep", F.lit(keep)).alias("keep")), "refs")
+    branches = live.where("kind = 'branch'")
+    reached = ancestry(snapshots, branches.select("snapshot_id").distinct())
+    times = snapshots.select("snapshot_id", "timestamp_ms")
+    of_branch = reached.join(branches.select(F.col("snapshot_id").alias("head"), "age", "keep"), "head").join(times, "snapshot_id")
+    held = of_branch.where((F.col("depth") < F.col("keep")) | (age("timestamp_ms") <= F.col("age"))).select("snapshot_id")
+    held = held.unionAll(live.where("kind = 'tag'").select("snapshot_id")).distinct().withColumn("held", F.lit(True))
+    known = reached.select("snapshot_id").unionAll(live.select("snapshot_id")).distinct().withColumn("known", F.lit(True))
+    rows = snapshots.join(held, "snapshot_id", "left").join(known, "snapshot_id", "left")
+    kept = F.col("held").isNotNull() | (F.col("known").isNull() & (age("timestamp_ms") <= max_age_ms))
+    return rows.select(*snapshots.columns, kept.alias("kept"))
+
+
 def orphans(listing: DataFrame, reached: DataFrame, location: str, cutoff_ms: int) -> DataFrame:
     """listing (path, modified_ms) with `status`: reachable, outside, undated, young or orphan, asked in this order."""
     rows = listing.withColumn("norm_path", normalize(F.col("path")))
     flags = reached.select("norm_path").distinct().withColumn("reachable", F.lit(True))
     status = (
-        F.when(F.col("reachable"), "reachable").when(~is_inside(F.lit(location), F.col("path")), "outside")
+        F.when(F.col("reachable"), "reachable").when(~below(normalize(F.lit(location)), F.col("norm_path")), "outside")
         .when(F.col("modified_ms").isNull(), "undated").when(F.col("modified_ms") > cutoff_ms, "young").otherwise("orphan")
     )
     return rows.join(flags, "norm_path", "left").select("path", "norm_path", "size", "modified_ms", status.alias("status"))

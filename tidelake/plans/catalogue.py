@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import paths, values
@@ -12,8 +12,10 @@ from tidelake.operators import health as H
 from tidelake.operators import outcomes as O
 from tidelake.operators import policy as P
 from tidelake.operators import reachability as R
+from tidelake.operators import rewrite as W
 from tidelake.plans import planner
 from tidelake.sources import fixtures as X
+from tidelake.sources.storage import shared_path
 from tidelake.streaming import debounce
 
 QUERIES: dict = {}
@@ -170,8 +172,8 @@ def _pairs(spark, sf_dir):
 
 def _with_counts(spark, sf_dir):
     """Data files with how many deletes apply to them."""
-    counts = _pairs(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"))
-    return X.files(spark, sf_dir).join(counts, "path", "left").withColumn("n_deletes", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
+    counted = D.delete_counts(X.files(spark, sf_dir), X.deletes(spark, sf_dir))
+    return counted.withColumn("n_deletes", F.col("equality") + F.col("position")).drop("equality", "position", "newest")
 
 
 COUNTED_SQL = f"{PAIRS_SQL}, counted AS (SELECT f.*, coalesce(p.n, 0) AS n_deletes FROM files f LEFT JOIN (SELECT path, count(*) AS n FROM pairs GROUP BY path) p ON p.path = f.path)"
@@ -179,7 +181,7 @@ COUNTED_SQL = f"{PAIRS_SQL}, counted AS (SELECT f.*, coalesce(p.n, 0) AS n_delet
 
 @query(f"{PAIRS_SQL} SELECT path, count(*) FILTER (content = 'equality') AS equality, count(*) FILTER (content = 'position') AS position, max(delete_seq) AS newest FROM pairs GROUP BY path")
 def delete_applicability(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("content") == "equality").alias("equality"), F.count_if(F.col("content") == "position").alias("position"), F.max("delete_seq").alias("newest"))
+    return D.delete_counts(X.files(spark, sf_dir), X.deletes(spark, sf_dir)).where("equality + position > 0").select("path", "equality", "position", "newest")
 
 
 @query(f"{COUNTED_SQL} SELECT path, file_size, n_deletes FROM counted WHERE n_deletes > 0 OR file_size < {X.SMALL} OR file_size > {X.LARGE}")
@@ -229,8 +231,6 @@ def eqdel_sequence_aware(spark, sf_dir):
 @query("""WITH l AS (SELECT l_suppkey AS file_no, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS pos FROM lineitem)
 SELECT file_no, l_orderkey, l_linenumber, pos FROM l WHERE NOT EXISTS (SELECT 1 FROM partsupp_deletes d WHERE d.file = l.file_no AND d.pos = l.pos)""".replace("partsupp_deletes", "(SELECT s_suppkey AS file, unnest(range(0, s_suppkey % 7 * 3, 3)) AS pos FROM supplier)"))
 def posdel_row_selection(spark, sf_dir):
-    from pyspark.sql import Window
-
     lines = X.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_no"), "l_orderkey", "l_linenumber", "l_partkey")
     placed = lines.withColumn("pos", (F.row_number().over(Window.partitionBy("file_no").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1).cast("bigint")).drop("l_partkey")
     gone = X.table(spark, sf_dir, "supplier").where("s_suppkey % 7 > 0").select(F.col("s_suppkey").alias("file"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s_suppkey") % 7 * 3 - 3, F.lit(3).cast("bigint"))).alias("pos"))
@@ -246,6 +246,67 @@ def retirable_deletes(spark, sf_dir):
     return D.retirable(found.where(inside), found.where(~inside))
 
 
+GROUP_FILES_NO, POSITION_SEQ, SUPPLIER_SEQ, LINE_SEQ = 8, 5, 6, 4
+GROUP_SQL = f"""WITH l AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_suppkey % {GROUP_FILES_NO} AS file_no,
+         row_number() OVER (PARTITION BY l_suppkey % {GROUP_FILES_NO} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem
+), live AS (
+  SELECT * FROM l WHERE NOT (pos % 7 = 0 AND pos < 700 AND file_no % 3 = 1 AND {POSITION_SEQ} >= file_no + 1)
+    AND NOT (l_suppkey % 5 = 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier) AND file_no + 1 < {SUPPLIER_SEQ})
+    AND NOT (l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0) AND file_no + 1 < {LINE_SEQ})
+)"""
+
+
+def _group(spark, sf_dir):
+    """A group of data files with its delete files, all written into the shared folder: (live rows with lineage, data files)."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
+    lines = X.table(spark, sf_dir, "lineitem").select(*columns, (F.col("l_suppkey") % GROUP_FILES_NO).cast("int").alias("file_no"))
+    at = shared_path(spark, "group")
+    lines.repartition(GROUP_FILES_NO, "file_no").sortWithinPartitions("file_no", *columns[:4]).write.partitionBy("file_no").parquet(f"{at}/data")
+    data = spark.read.parquet(f"{at}/data").groupBy("file_no", F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("record_count"))
+    first = F.coalesce(F.sum("record_count").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per file
+    tasks = data.select("path", "record_count", "file_no", (F.col("file_no") + 1).cast("bigint").alias("seq"), first.cast("bigint").alias("first_row_id"))
+    by_position = tasks.where("file_no % 3 = 1").select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(699).cast("bigint"), F.lit(7).cast("bigint"))).alias("pos"), F.lit(POSITION_SEQ).alias("seq"))
+    by_position.write.parquet(f"{at}/positions")
+    X.table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(SUPPLIER_SEQ).alias("seq")).write.parquet(f"{at}/by-supplier")
+    X.table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(LINE_SEQ).alias("seq")).write.parquet(f"{at}/by-line")
+    schema = lines.select(columns).schema
+    W.check_sort_columns(schema, ["l_shipdate", "l_quantity", *columns[:4]])
+    found = tasks.collect()  # a group's files, whose number is bounded
+    rows = W.scan(spark, tasks, schema, [r.path for r in found])
+    keyed = {("l_suppkey",): spark.read.parquet(f"{at}/by-supplier"), ("l_orderkey", "l_linenumber"): spark.read.parquet(f"{at}/by-line")}
+    return W.with_lineage(W.staged_live(rows, spark.read.parquet(f"{at}/positions"), keyed)), found
+
+
+def _rewritten(spark, sf_dir):
+    """(rows read back with their place in the order, rows produced, data files)."""
+    rows, found = _group(spark, sf_dir)
+    produced, of = rows.count(), sum(r.record_count for r in found)
+    out = rows.drop(W.FILE, W.POSITION, W.SEQ, W.FIRST)
+    order = [F.col("l_shipdate").asc_nulls_first(), F.col("l_quantity").desc_nulls_last(), *[F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]]
+    path = shared_path(spark, "rewritten")
+    W.write_sorted(out, path, order, -(-len(found) * produced // max(1, of) // 2), W.writer_options({W.CODEC: "zstd", "write.parquet.page-size-bytes": "65536"}))
+    return W.in_order(spark, path, out.schema), produced, found
+
+
+@query(f"""{GROUP_SQL}, f AS (SELECT file_no, count(*) AS n FROM l GROUP BY file_no), b AS (SELECT file_no, coalesce(sum(n) OVER (ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM f)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(first + pos AS BIGINT) AS row_id, CAST(file_no + 1 AS BIGINT) AS updated_seq,
+  row_number() OVER (ORDER BY l_shipdate ASC NULLS FIRST, l_quantity DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ordinal FROM live JOIN b USING (file_no)""")
+def rewrite_group(spark, sf_dir):
+    """Real Parquet files, rewritten: positions and two sets of equality keys applied, sorted, written, and read back."""
+    rows, _, _ = _rewritten(spark, sf_dir)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col(W.ROW_ID).alias("row_id"), F.col(W.UPDATED).alias("updated_seq"), "ordinal")
+
+
+@query(f"""{GROUP_SQL} SELECT (SELECT count(*) FROM live) AS produced, (SELECT count(*) FROM live) AS persisted, (SELECT count(*) FROM l WHERE file_no + 1 >= {SUPPLIER_SEQ}) AS floor,
+(SELECT count(*) FROM l) AS ceiling, CAST(NULL AS VARCHAR) AS violation""")
+def rewrite_contract(spark, sf_dir):
+    """The rows that the rewrite produced and wrote against the fewest and the most that its inputs allow."""
+    rows, produced, found = _rewritten(spark, sf_dir)
+    free = sum(r.record_count for r in found if r.seq >= SUPPLIER_SEQ > POSITION_SEQ > LINE_SEQ)  # no delete file applies
+    return W.outcome(produced, rows, free, sum(r.record_count for r in found))
+
+
 DEAD_SQL = f"""{PAIRS_SQL}, floors AS (SELECT spec_id, part_key, min(seq) AS floor FROM files GROUP BY ALL), judged AS (
   SELECT d.*, CASE WHEN fl IS NULL THEN true WHEN content = 'equality' THEN seq <= fl ELSE seq < fl END AS dead FROM (
     SELECT d.*, CASE WHEN d.part_key IS NULL AND d.content = 'equality' THEN (SELECT min(floor) FROM floors) ELSE f.floor END AS fl
@@ -322,8 +383,6 @@ def global_sort_nulls(spark, sf_dir):
     rows = _orders(spark, sf_dir, "o_totalprice").select("o_orderkey", F.nullif(F.col("o_custkey") % 10, F.lit(0)).alias("k"), "o_totalprice")
     order = [F.col("k").asc_nulls_first(), F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc()]
     placed = rows.repartitionByRange(16, *order).sortWithinPartitions(*order).select("o_orderkey", "k", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"))
-    from pyspark.sql import Window
-
     before = placed.groupBy("p").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return placed.join(F.broadcast(before), "p").select("o_orderkey", "k", (F.col("offset") + F.col("i") + 1).cast("bigint").alias("ordinal"))
 
