@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.operators.ordering import before, placed
+
 
 def next_fit(files: DataFrame, max_bytes: int, max_files: int) -> DataFrame:
     """files (spec_id, part_key, path, file_size) with `group_no`: smallest first, a group is closed when the next file
@@ -37,10 +39,16 @@ def worthwhile(groups: DataFrame, target: int, large: int) -> DataFrame:
 
 
 def ranked(groups: DataFrame) -> DataFrame:
-    """groups with `rank`: most benefit per byte first, ties by partition and index. One row per group, so the single
-    order is over few rows."""
-    worth = F.col("benefit") / F.greatest(F.col("bytes"), F.lit(1)).cast("double")
-    return groups.withColumn("rank", F.row_number().over(Window.orderBy(worth.desc(), "spec_id", "part_key", "group_index")).cast("bigint"))
+    """groups with `rank`: most benefit per byte first, compared exactly, ties by partition and index."""
+    size = F.greatest(F.col("bytes"), F.lit(1)).cast("decimal(19,0)")
+    digits, rest = [F.expr("benefit div greatest(bytes, 1)")], (F.col("benefit").cast("decimal(19,0)") % size).cast("decimal(19,0)")
+    found = groups.withColumns({"_digits": digits[0], "_rest": rest, "_size": size})
+    for i in range(3):  # fractions of 63-bit numbers that differ do so within 38 decimals
+        found = found.withColumn(f"_d{i}", F.expr("CAST(_rest * CAST(1000000000000000000 AS decimal(19,0)) AS decimal(38,0)) div _size"))
+        found = found.withColumn("_rest", F.expr("CAST(CAST(_rest * CAST(1000000000000000000 AS decimal(19,0)) AS decimal(38,0)) % _size AS decimal(19,0))"))
+    order = [F.col(c).desc() for c in ("_digits", "_d0", "_d1", "_d2")] + [F.col(c).asc() for c in ("spec_id", "part_key", "group_index")]
+    ordered = before(placed(found, *order, label="groups"), F.lit(1), "rank")
+    return ordered.select(*groups.columns, (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
 def within_budget(plans: DataFrame, budget: int) -> DataFrame:
@@ -59,7 +67,6 @@ def within_budget(plans: DataFrame, budget: int) -> DataFrame:
 
 def clustered(entries: DataFrame, per_manifest: int) -> DataFrame:
     """entries (spec_id, part_key, manifest_pos, entry_pos) with `position` and `manifest_no` within their spec: in
-    partition order, ties in commit order, cut into manifests of so many entries."""
-    order = Window.partitionBy("spec_id").orderBy("part_key", "manifest_pos", "entry_pos")
-    placed = entries.withColumn("position", (F.row_number().over(order) - 1).cast("bigint"))
-    return placed.withColumn("manifest_no", F.floor(F.col("position") / per_manifest).cast("bigint"))
+    partition order, ties in commit order, cut into manifests of so many entries. Ranges share a spec's entries."""
+    found = placed(entries, F.col("spec_id").asc(), F.col("part_key").asc(), F.col("manifest_pos").asc(), F.col("entry_pos").asc(), label="entries")
+    return before(found, F.lit(1), "position", ("spec_id",)).withColumn("manifest_no", F.floor(F.col("position") / per_manifest).cast("bigint"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions.paths import below, nested_root, normalize
+from tidelake.operators.ordering import before, placed
 from tidelake.sources.storage import shared
 
 
@@ -114,6 +115,6 @@ def newest_per_key(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def lineage(files: DataFrame, first: int = 0) -> DataFrame:
-    """files (commit_pos, record_count) with `first_row_id`: the running sum of the records before."""
-    before = Window.orderBy("commit_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first_row_id", (F.lit(first) + F.coalesce(F.sum("record_count").over(before), F.lit(0))).cast("bigint"))
+    """files (commit_pos, record_count) with `first_row_id`: the running sum of the records before, by ranges."""
+    found = before(placed(files, F.col("commit_pos").asc(), label="files"), F.coalesce("record_count", F.lit(0)), "first_row_id")
+    return found.withColumn("first_row_id", (F.lit(first) + F.col("first_row_id")).cast("bigint"))
