@@ -70,6 +70,12 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs when the driver's collector finds their handles unused; this
+    runs it, so that a long chain of jobs does not hold the disk of all of them."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Rows here hold whole texts, so that batches for Python workers are cut at few rows."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
@@ -111,10 +117,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 def join_salted(rows: DataFrame, wide: DataFrame, key: str, salt: str, most: int = 2000) -> DataFrame:
     """rows joined with wide, which has one row per key, too wide to broadcast: a key with more than `most` rows gets
     a copy of its wide row for each `most` of them, among which the hash of column `salt` deals the rows."""
-    copies = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_copies"))
-    hot = copies.where("_copies > 1")
-    dealt = rows.join(F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot, key, "left")
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(salt), F.coalesce("_copies", F.lit(1)).cast("long")).cast("int")).drop("_copies")
+    copies = checked(staged(rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_copies")), "copies"))
+    dealt = rows.join(copies, key).withColumn("_part", F.pmod(F.xxhash64(salt), F.col("_copies").cast("long")).cast("int")).drop("_copies")
     spread = wide.join(copies, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
     return dealt.join(spread, [key, "_part"]).drop("_part")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import checked, discard, join_groups, join_salted, small_batches, staged
+from tidelake.llm.common import checked, discard, join_groups, join_salted, release, small_batches, staged
 from tidelake.llm.components import components
 from tidelake.llm.fasthash import mix, segment_hashes, shingle_hashes
 
@@ -213,24 +213,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             least *= 2
         return counts.where(F.col("count") > least)
 
-    def read_whole(often: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, left) of nodes with frequent shingles in their window: what is left of it. And the ids of those whose
-        window then holds too few."""
-        theirs = postings.join(F.broadcast(often.select("key")), "key").groupBy("id").agg(F.collect_list("key").alias("common"))  # parts of a window
-        left = staged(nodes.join(theirs, "id").select("id", "n", "need", F.array_except("prefix", "common").alias("left")), "left")
-        return left, staged(left.where(F.size("left") < F.col("need")).select("id"), "ids")
+    def common_of(often: DataFrame) -> DataFrame:
+        return postings.join(F.broadcast(often.select("key")), "key").groupBy("id")
+
+    def too_few(often: DataFrame) -> DataFrame:
+        """The ids of nodes whose window holds too few rare shingles."""
+        sizes = nodes.select("id", "need", F.size("prefix").alias("size"))
+        return staged(sizes.join(common_of(often).agg(F.count("*").alias("common")), "id").where("size - common < need").select("id"), "ids")
 
     def rows_of(ids: DataFrame) -> DataFrame:
         """The texts of nodes; of rows that share an id, all are counted and one decides."""
         return texts.join(checked(ids), "id", "left_semi")
 
     often = bounded(postings.groupBy("key").count())
-    left, short = read_whole(often)
+    short = too_few(often)
     if not short.isEmpty():
         deep = rows_of(short).mapInArrow(_counted(k), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
         often = bounded(often.unionAll(deep).groupBy("key").agg(F.max("count").alias("count")))
-        discard(left, short)
-        left, short = read_whole(often)
+        discard(short)
+        short = too_few(often)
+    theirs = common_of(often).agg(F.collect_list("key").alias("common"))  # parts of a window
+    left = staged(nodes.join(theirs, "id").select("id", "n", "need", F.array_except("prefix", "common").alias("left")), "left")
+    release(spark)
     table = spark.sparkContext.broadcast(np.sort(often.select("key").toArrow()["key"].to_numpy()))
     combined = rows_of(short).mapInArrow(_keys(k, percent, table), f"id {id_type}, n long, singles array<long>, pairs array<long>, rare long")
     combined = staged(combined.groupBy("id").agg(F.max_by(F.struct("n", "singles", "pairs", "rare"), "n").alias("r")).select("id", "r.*") if repeats else combined, "keys")
@@ -251,6 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     indexed = buckets.agg(F.sum("size")).first()[0] or 0
     members = staged(join_groups(index.select("key", "id", "n", "rare", "paired"), buckets, "key", "size", indexed), "members")
     discard(buckets, left, combined)
+    release(spark)
     table.destroy()
 
     def able(a: str, b: str):
@@ -261,6 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b, a_n, b_n), each once."""
+        pairs = staged(pairs, "pairs")
         ends = lambda c, side: nodes.select(F.col("id").alias(side), F.col("prefix").alias(c))
         seen = join_salted(join_salted(pairs, ends("pa", "a"), "a", "b"), ends("pb", "b"), "b", "a")
         last = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
@@ -269,6 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = _least("a_n", "b_n", percent)
         close = (upto("pa") - shared <= F.col("a_n") - least) & (upto("pb") - shared <= F.col("b_n") - least)
         able_pairs = staged(seen.where(close).select("a", "b"), "able")
+        discard(pairs)
+        release(spark)
         ids = able_pairs.select(F.col("a").alias("id")).unionAll(able_pairs.select("b")).distinct()
         found = texts.join(checked(staged(ids, "ids")), "id", "left_semi").mapInArrow(_sets(k), f"id {id_type}, n long, shingles array<long>")
         full = staged(found.groupBy("id").agg(F.max_by("shingles", "n").alias("shingles")) if repeats else found.select("id", "shingles"), "sets")
@@ -277,6 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inter = F.size(F.array_intersect("sa", "sb"))
         links = staged(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"), "links")
         discard(full, able_pairs)
+        release(spark)
         return links
 
     to_pivots = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("rare").alias("ra"), F.col("pivot").alias("b"), F.col("pivot_n").alias("b_n"), F.col("pivot_rare").alias("rb"), "paired")
