@@ -68,3 +68,31 @@ def in_window(at: Column, start: str, end: str, zone: str) -> Column:
     if start <= end:
         return (clock >= start) & (clock < end)
     return (clock >= start) | (clock < end)
+
+
+#: Shares of the target size below and above which a file is out of band.
+SMALL_SHARE, LARGE_SHARE = 0.75, 1.8
+
+
+def small_threshold(target: Column, share: float = SMALL_SHARE) -> Column:
+    """The size below which a file is small."""
+    return _share(target, share)
+
+
+def large_threshold(target: Column, share: float = LARGE_SHARE) -> Column:
+    """The size above which a file is oversized; the largest long where the product would be larger."""
+    return _share(target, share)
+
+
+def _share(target: Column, share: float) -> Column:
+    product = target.cast("double") * F.lit(share)
+    return F.when(product >= 2.0**63, F.lit(2**63 - 1)).otherwise(F.floor(product)).cast("bigint")
+
+
+def entry_bytes(columns: Column) -> Column:
+    """What a manifest entry of a table with so many columns is estimated to take."""
+    return 256 + 48 * columns
+
+
+def entries_per_manifest(target: Column, columns: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(target / entry_bytes(columns))).cast("bigint")

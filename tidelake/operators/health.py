@@ -71,3 +71,10 @@ def snapshot_health(snapshots: DataFrame, now_ms: int) -> DataFrame:
 
 def manifest_health(manifests: DataFrame, target: int) -> DataFrame:
     return manifests.agg(F.count("*").alias("manifests"), total("length").alias("bytes"), F.count_if(F.col("length") < target).alias("undersized"), F.count_if(F.col("content") == "deletes").alias("delete_manifests"))
+
+
+def live_and_dated(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """entries (status, snapshot_id, ...) without the deleted ones (status 2), with `dated_ms`, the time of the snapshot
+    that added them; null if that snapshot is gone or unknown."""
+    times = snapshots.select("snapshot_id", F.col("timestamp_ms").alias("dated_ms"))
+    return entries.where("status <> 2").join(F.broadcast(times), "snapshot_id", "left")  # a row per snapshot of the table

@@ -108,6 +108,15 @@ def foreign_roots(listing: DataFrame, location: str) -> DataFrame:
     return found.groupBy("root").agg(F.count("*").alias("documents"))
 
 
+def nested_siblings(tables: DataFrame) -> DataFrame:
+    """(location, inside): for each of tables (location) the others that lie strictly below it. Every location meets the
+    folders above it by equality, so many tables cost no pairs. Spellings are normalised; nulls have none."""
+    own = tables.select(normalize(F.col("location")).alias("location")).where("location is not null").distinct()
+    parts = F.split("location", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return own.select(F.col("location").alias("inside"), F.explode(F.array_distinct(above)).alias("location")).where("inside <> location").join(own, "location").select("location", "inside")
+
+
 def newest_per_key(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The last row of each key, by an aggregation that combines before it shuffles."""
     whole = F.struct(*[F.col(c) for c in rows.columns])

@@ -17,6 +17,7 @@ from tidelake.plans import planner
 from tidelake.sources import fixtures as X
 from tidelake.sources.storage import shared_path
 from tidelake.streaming import debounce
+from tidelake.streaming import notifications as N
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -246,6 +247,48 @@ def retirable_deletes(spark, sf_dir):
     return D.retirable(found.where(inside), found.where(~inside))
 
 
+@query("""WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 9223372036854775807 ELSE s_suppkey * 1000003 END AS target FROM supplier)
+SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 6917529027641081856 ELSE CAST(floor(target * 0.75::DOUBLE) AS BIGINT) END AS small, CASE WHEN s_suppkey % 10 = 0 THEN 9223372036854775807 ELSE CAST(floor(target * 1.8::DOUBLE) AS BIGINT) END AS large,
+  greatest(1, CAST(floor(s_suppkey * 1000 / CAST(256 + 48 * (s_suppkey % 20) AS DOUBLE)) AS BIGINT)) AS entries FROM t""")
+def size_thresholds(spark, sf_dir):
+    key = F.col("s_suppkey").cast("bigint")
+    rows = X.table(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 10 == 0, F.lit(2**63 - 1)).otherwise(key * 1_000_003).alias("target"))
+    return rows.select("s_suppkey", values.small_threshold(F.col("target")).alias("small"), values.large_threshold(F.col("target")).alias("large"), values.entries_per_manifest(key * 1000, key % 20).alias("entries"))
+
+
+@query(f"""{WITH_FILES}, {X.SNAPSHOTS_SQL}, e AS (SELECT part_key, file_size, CASE WHEN file_no % 10 = 9 THEN 2 ELSE file_no % 2 END AS status, CASE WHEN file_no % 7 <> 0 THEN CAST(part_key AS BIGINT) END AS snapshot_id FROM files)
+SELECT part_key, count(*) AS live, count(timestamp_ms) AS dated, max(timestamp_ms) AS newest_ms FROM e LEFT JOIN snapshots USING (snapshot_id) WHERE status <> 2 GROUP BY part_key""")
+def live_entries_dated(spark, sf_dir):
+    no = F.col("file_no")
+    entries = X.files(spark, sf_dir).select("part_key", F.when(no % 10 == 9, 2).otherwise((no % 2).cast("int")).alias("status"), F.when(no % 7 != 0, F.col("part_key").cast("bigint")).alias("snapshot_id"))
+    dated = H.live_and_dated(entries, X.snapshots(spark, sf_dir))
+    return dated.groupBy("part_key").agg(F.count("*").alias("live"), F.count("dated_ms").alias("dated"), F.max("dated_ms").alias("newest_ms"))
+
+
+@query("""WITH t AS (SELECT 's3://lake/wh/' || n_regionkey || CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN '/' || n_name ELSE 'x/' || n_name END AS location FROM nation)
+SELECT DISTINCT a.location, b.location AS inside FROM t a JOIN t b ON starts_with(b.location, a.location || '/')""")
+def nested_sibling_tables(spark, sf_dir):
+    n = F.col("n_nationkey") % 3
+    tail = F.when(n == 0, F.lit("/")).when(n == 1, F.concat(F.lit("//"), "n_name")).otherwise(F.concat(F.lit("x/"), "n_name"))
+    return R.nested_siblings(X.table(spark, sf_dir, "nation").select(F.concat(F.lit("s3a://lake/wh/"), F.col("n_regionkey").cast("string"), tail).alias("location")))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS shape, CASE event_type WHEN 'view' THEN 'updateTable' WHEN 'click' THEN 'createTable' WHEN 'error' THEN 'dropTable' ELSE 'registerTable' END AS type, 't' || user_id AS name FROM events)
+SELECT event_id, CASE WHEN shape IN (1, 2) AND type = 'dropTable' OR shape = 3 THEN 'ignored' WHEN shape >= 4 THEN 'refused' ELSE 'table' END AS outcome,
+  CASE WHEN shape = 0 THEN 'own' WHEN shape IN (1, 2) AND type <> 'dropTable' THEN 'main' END AS catalog, CASE WHEN shape = 0 OR (shape IN (1, 2) AND type <> 'dropTable') THEN 'a.b' END AS space,
+  CASE WHEN shape = 0 OR (shape IN (1, 2) AND type <> 'dropTable') THEN name END AS "table" FROM e""")
+def notification_filter(spark, sf_dir):
+    """Notifications in every shape: a table's own, cloud events in a body and in headers, of views, without a query, malformed."""
+    shape, kind = F.col("event_id") % 6, F.col("event_type")
+    of = F.when(kind == "view", "updateTable").when(kind == "click", "createTable").when(kind == "error", "dropTable").otherwise("registerTable")
+    name, q = F.concat(F.lit("t"), F.col("user_id").cast("string")), F.lit('"')
+    cloud = lambda tail: F.concat(F.lit('{"specversion":"1.0","type":"'), of, F.lit('","namespace":"a\\u001fb","name":"'), name, F.lit(f'"{tail}}}'))
+    body = F.when(shape == 0, F.concat(F.lit('{"catalog":"own","namespace":["a","b"],"table":"'), name, F.lit('"}'))).when(shape == 1, cloud("")).when(shape == 3, cloud(',"tabular-type":"view"')).when(shape == 4, F.concat(q, name)).when(shape == 5, cloud(',"tabular-type":"table","type":1'))
+    headers = F.when(shape == 2, F.create_map(F.lit("ce-specversion"), F.lit("1.0"), F.lit("ce-type"), of, F.lit("ce-tabular-type"), F.lit("table"), F.lit("ce-namespace"), F.lit("a\x1fb"), F.lit("ce-name"), name))
+    rows = X.table(spark, sf_dir, "events").select("event_id", body.alias("body"), headers.alias("headers"), F.when(shape > 0, F.lit("x=1&catalog=main")).alias("query"))
+    return N.notified(rows).select("event_id", "outcome", "catalog", F.array_join("namespace", ".").alias("space"), "table")
+
+
 GROUP_FILES_NO, POSITION_SEQ, SUPPLIER_SEQ, LINE_SEQ = 8, 5, 6, 4
 GROUP_SQL = f"""WITH l AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_suppkey % {GROUP_FILES_NO} AS file_no,
