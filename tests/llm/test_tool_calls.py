@@ -52,3 +52,40 @@ def test_arguments_results_and_canonical_json(spark):
     assert by["c"].faults == by["d"].faults == by[None].faults == ["not an object"] and by["e"].faults == ["unknown tool"] and by["f"].faults == ["missing a"]
     assert json.loads(by["g"].json)["arguments"]["a"] == 5 and by["g"].faults == []
     assert linked_calls(calls.limit(0), results.limit(0), TOOLS).count() == 0
+
+
+NESTED = {
+    "go": {
+        "type": "object",
+        "properties": {
+            "a.b": {"type": "integer", "minimum": 1, "maximum": 9},
+            "mode": {"enum": ["fast", "slow", 3]},
+            "at": {"type": "object", "properties": {"x": {"type": "number"}, "name": {"type": "string", "minLength": 2, "maxLength": 4}}, "required": ["x"], "additionalProperties": False},
+            "tags": {"type": "array", "items": {"type": "string"}, "minItems": 1, "maxItems": 2},
+        },
+        "required": ["a.b"],
+    }
+}
+
+
+def test_nested_schemas(spark):
+    cases = {
+        '{"a.b":3}': [],
+        '{"a.b":3.0,"mode":3,"more":1}': [],
+        '{"a.b":3.5}': ["a.b is not integer"],
+        '{"a.b":0}': ["a.b is below 1"],
+        '{"a.b":10,"mode":"quick"}': ["a.b is above 9", "mode is not one of the choices"],
+        '{"mode":"slow"}': ["missing a.b"],
+        '{"a.b":1,"at":{"x":1.5,"name":"abc"}}': [],
+        '{"a.b":1,"at":{"name":"a","y":1}}': ["at.name is shorter than 2", "missing at.x", "unknown at.y"],
+        '{"a.b":1,"at":{"x":"1","name":"abcde"}}': ["at.name is longer than 4", "at.x is not number"],
+        '{"a.b":1,"at":[]}': ["at is not object"],
+        '{"a.b":1,"tags":["p",2]}': ["tags[1] is not string"],
+        '{"a.b":1,"tags":[]}': ["tags has fewer than 1 items"],
+        '{"a.b":1,"tags":["a","b","c"]}': ["tags has more than 2 items"],
+        '{"a.b":1,"tags":"a"}': ["tags is not array"],
+        '{"a.b":1,"a.b":1}': ["not an object"],
+    }
+    calls = spark.createDataFrame([call(f"c{i}", "go", text) for i, text in enumerate(cases)], "call_id string, conv_id long, turn long, name string, arguments string, depends_on array<string>")
+    found = linked_calls(calls, spark.createDataFrame([], "call_id string, turn long, content string"), NESTED).collect()
+    assert {r.arguments: r.faults for r in found} == cases

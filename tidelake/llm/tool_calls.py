@@ -3,23 +3,27 @@
 Calls and results meet by a hash join on their identifier. Calls are ordered topologically: a call's level is one
 more than the highest level that it depends on. Chains of calls with one dependency each are followed by pointer
 doubling, in as many rounds as the logarithm of their length; on what is left, each round settles the calls whose
-dependencies are all settled. Calls on a cycle stay without a level. Arguments are parsed once as variants, checked against the tool's schema, and
-written as canonical JSON (keys in order, no white space).
+dependencies are all settled. Calls on a cycle stay without a level. Arguments are parsed once as variants, checked against the tool's schema (nested
+objects, arrays, choices and bounds included), and written as canonical JSON (keys in order, no white space).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import staged
 
-#: Of a schema: what a variant's type may be called for each JSON type.
-TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
+#: What a variant's type may be called for each JSON type; integers are looked at more closely.
+TYPES = {"string": ["STRING"], "integer": ["BIGINT", "DOUBLE", "DECIMAL"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"]}
 
-Schema = Mapping[str, tuple[str, bool]]  # field: (JSON type, whether it is required)
+#: Either {field: (JSON type, whether it is required)}, or of JSON Schema: type (one name), enum, minimum, maximum, minLength,
+#: maxLength, items, minItems, maxItems, properties, required, additionalProperties (true, false).
+Schema = Mapping[str, Any]
 
 
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -71,24 +75,81 @@ def chain_ends(pointers: DataFrame) -> DataFrame:
     return found
 
 
-def problems(arguments: Column, schema: Schema) -> Column:
-    """The faults of a variant under a schema, in the order of its fields; unknown fields come last."""
-    found = []
-    for field, (kind, required) in sorted(schema.items()):
-        value = F.try_variant_get(arguments, f"$.{field}", "variant")
-        missing = value.isNull() | F.is_variant_null(value)
-        fits = F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1).isin(TYPES[kind])
-        found.append(F.when(missing, F.lit(f"missing {field}" if required else None)).when(~fits, F.lit(f"{field} is not {kind}")))
-    names = F.map_keys(F.variant_get(arguments, "$", "map<string,variant>"))
-    extra = F.transform(F.array_sort(F.array_except(names, F.array(*[F.lit(f) for f in schema]))), lambda f: F.concat(F.lit("unknown "), f))
-    return F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), extra)
+def whole_schema(schema: Schema) -> dict[str, Any]:
+    """The JSON Schema of a flat one, which allows no other fields; any other schema as it is."""
+    if schema and not all(isinstance(v, tuple) for v in schema.values()):
+        return dict(schema)
+    return {"type": "object", "properties": {f: {"type": k} for f, (k, _) in schema.items()}, "required": [f for f, (_, r) in schema.items() if r], "additionalProperties": False}
+
+
+def _path(field: str) -> str:
+    """The variant path of a field, whatever dots or blanks its name has."""
+    if "'" not in field and "]" not in field:
+        return f"$['{field}']"
+    if '"' in field or "]" in field:
+        raise ValueError(f"no path names the field {field}")
+    return f'$["{field}"]'
+
+
+def problems(value: Column, schema: Schema) -> Column:
+    """The faults of a variant object under a schema, as an array of texts: in the order of its fields, unknown ones last.
+
+    A field that is absent or null is missing. Numbers without a fraction are integers, however they are written."""
+    return _faults(value, whole_schema(schema), F.lit(""))
+
+
+def _faults(value: Column, schema: Mapping[str, Any], at: Column) -> Column:
+    own, inner = [], []
+    label = F.nullif(at, F.lit(""))
+    says = lambda when, text: own.append(F.when(when, F.concat_ws(" ", label, F.lit(text))))
+    kind = F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1)
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    fits = F.lit(True)
+    if name := schema.get("type"):
+        fits = kind.isin(TYPES[name]) & (F.coalesce(number == F.floor(number), F.lit(False)) if name == "integer" else F.lit(True))
+        says(~fits, f"is not {name}")
+    numeric = kind.isin(TYPES["number"])
+    if "enum" in schema:
+        says(~F.to_json(value).isin([json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in schema["enum"]]), "is not one of the choices")
+    for word, wrong, text_of in (("minimum", lambda x: number < x, "is below"), ("maximum", lambda x: number > x, "is above")):
+        if word in schema:
+            says(numeric & wrong(schema[word]), f"{text_of} {schema[word]}")
+    if "minLength" in schema:
+        says((kind == "STRING") & (F.char_length(text) < schema["minLength"]), f"is shorter than {schema['minLength']}")
+    if "maxLength" in schema:
+        says((kind == "STRING") & (F.char_length(text) > schema["maxLength"]), f"is longer than {schema['maxLength']}")
+    elements = F.when(kind == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+    if "minItems" in schema:
+        says(F.size(elements) < schema["minItems"], f"has fewer than {schema['minItems']} items")
+    if "maxItems" in schema:
+        says(F.size(elements) > schema["maxItems"], f"has more than {schema['maxItems']} items")
+    if "items" in schema:
+        each = F.transform(elements, lambda v, i: _faults(v, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
+        inner.append(F.flatten(each))
+    dot = F.when(at == "", F.lit("")).otherwise(F.concat(at, F.lit(".")))
+    if "properties" in schema or schema.get("type") == "object":
+        fields = schema.get("properties", {})
+        required = set(schema.get("required", ()))
+        for field in sorted({*fields, *required}):
+            v = F.try_variant_get(value, _path(field), "variant")
+            missing = v.isNull() | F.is_variant_null(v)
+            there = _faults(v, fields.get(field, {}), F.concat(dot, F.lit(field)))
+            lacks = F.array(F.concat(F.lit("missing "), dot, F.lit(field))) if field in required else F.array().cast("array<string>")
+            inner.append(F.when(kind == "OBJECT", F.when(missing, lacks).otherwise(there)))
+        if schema.get("additionalProperties", True) is False:
+            names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+            extra = F.array_sort(F.array_except(names, F.array(*[F.lit(f) for f in fields]).cast("array<string>")))
+            inner.append(F.transform(extra, lambda f: F.concat(F.lit("unknown "), dot, f)))
+    none = F.array().cast("array<string>")
+    first = F.filter(F.array(*own), lambda x: x.isNotNull()) if own else none
+    return F.concat(first, *[F.coalesce(x, none) for x in inner]) if inner else first
 
 
 def validated(calls: DataFrame, schemas: Mapping[str, Schema]) -> DataFrame:
     """calls (name, arguments as JSON text) with `canonical` (null if it is not a JSON object) and `faults`.
 
-    A null or malformed text and a JSON value other than an object have the fault "not an object"; a name without a
-    schema has "unknown tool".
+    A null or malformed text, one with a key twice, and a JSON value other than an object have the fault "not an
+    object"; a name without a schema has "unknown tool".
     """
     parsed = F.try_parse_json("arguments")
     rows = calls.withColumn("_v", F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed))
@@ -106,8 +167,11 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Sch
     Sorting a conversation by level, then turn, gives an order in which every call follows what it depends on.
     Repeated rows stay; results without a call are not in the result; an empty table stays empty.
     """
-    rows = validated(link(calls, results), schemas).join(levels(calls), "call_id", "left")
+    keyed, others = calls.where("call_id is not null"), calls.where("call_id is null")  # the latter would meet in one task
+    linked = link(keyed, results).join(levels(keyed), "call_id", "left")
+    unlinked = others.withColumns({"result": F.lit(None).cast("string"), "result_turn": F.lit(None).cast(linked.schema["result_turn"].dataType), "n_results": F.lit(0).cast("long"), "level": F.lit(None).cast("int")})
+    rows = validated(linked.unionByName(unlinked), schemas)
     arguments = F.coalesce("canonical", F.lit("null"))
     inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
-    json = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), inner(F.col("call_id")), F.lit(',"name":'), inner(F.col("name")), F.lit(',"result":'), inner(F.col("result")), F.lit("}"))
-    return rows.select(*calls.columns, "level", "result_turn", "n_results", "faults", json.alias("json"))
+    whole = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), inner(F.col("call_id")), F.lit(',"name":'), inner(F.col("name")), F.lit(',"result":'), inner(F.col("result")), F.lit("}"))
+    return rows.select(*calls.columns, "level", "result_turn", "n_results", "faults", whole.alias("json"))
