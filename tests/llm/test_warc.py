@@ -8,7 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidelake.llm.warc import LoserTree, capture_history, url_key
+from tidelake.llm.warc import LoserTree, capture_history, merge_index, read_index, url_key, write_archives
 
 
 def test_loser_tree_merges_as_a_sort_does():
@@ -55,3 +55,14 @@ def test_an_empty_table_and_a_size_bound(spark):
 def test_url_keys():
     assert url_key("https://www.Example.com:80/A?b#c") == "com,example)/a?b"
     assert url_key(None) == "" and url_key("http://[bad/") == "http://[bad/"
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidelake.llm.warc.ARCHIVE", 100_000)
+    rows = [(i, f"http://a.com/{i % 7}", "p" * (20_000 if i % 2 else i)) for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, url string, html string").coalesce(1)
+    write_archives(table, f"file://{tmp_path}/w", "id", "url", "html", F.lit("2024-01-01").cast("timestamp"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 12 and max(sizes) <= 110_000
+    merged = merge_index(read_index(spark, f"file://{tmp_path}/w"), 7).orderBy("range_no", "position").collect()
+    assert len(merged) == 60 and [(r.url_key, r.record_id) for r in merged] == sorted((r.url_key, r.record_id) for r in merged)

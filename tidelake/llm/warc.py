@@ -1,14 +1,16 @@
 """WARC archives of captures, and the external merge of their indexes.
 
-Writing: a record is a line of text that ends in CR LF CR LF, so Spark's text writer lays down archives (each of a
-bounded number of records) with its own commit protocol, in whatever store the path names. Equal payloads become one
+Writing: a record is a line of text that ends in CR LF CR LF, so Spark's text writer lays down archives with its own
+commit protocol, in whatever store the path names. An archive holds a bounded number of records, fewer where payloads
+are so long that it would be over ARCHIVE bytes. Equal payloads become one
 response and revisits that refer to it; the response's identifier comes from an aggregation that combines before
 it shuffles, and payloads that a thousandth of all captures share are broadcast back instead of shuffled.
 
 Reading: archives are parsed by Content-Length, whatever bytes a payload holds, and give one index entry per record.
 
-Merging: the entries of an archive, sorted where they were read, are a run. A range exchange by (URL key, timestamp,
-identifier) hands each range its part of every run, and a loser tree merges these k sorted parts into one order.
+Merging: the entries that a task read, of all its archives, sorted and written, are a run. A range exchange by (URL key,
+timestamp, identifier) hands each range its part of every run, and a loser tree merges these k sorted parts into one
+order.
 Ranges are ordered among each other, so (range_no, position) orders all captures. The identifier is part of the key,
 so that a URL with a third of all captures spreads over many ranges.
 """
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import checked, new_path, staged
 
-#: Records of an archive at most; index entries that a range is to hold.
-RECORDS, RANGE = 1000, 200_000
+#: Records of an archive at most, bytes that it is to hold; index entries that a range is to hold.
+RECORDS, ARCHIVE, RANGE = 1000, 64_000_000, 200_000
 END, LINE = "\r\n\r\n", "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)", re.I)
@@ -85,12 +87,15 @@ def records(captures: DataFrame, id_col: str, url_col: str, payload_col: str, da
 
 
 def write_archives(captures: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, date: Column, least_bytes: int = 0, most: int = RECORDS) -> None:
-    """Writes captures as WARC 1.1 files below path, each of at most `most` records.
+    """Writes captures as WARC 1.1 files below path, each of at most `most` records and, but for single longer ones, of
+    about ARCHIVE bytes.
 
     Of equal payloads of at least least_bytes bytes the capture with the largest id is the response and the others
     revisit it; repeated rows with that id are all responses. A null payload is empty, a null url or date has no
     header, a null id is never referred to while another exists. An empty table gives an archive without records.
     """
+    longest = captures.agg(F.max(F.octet_length(payload_col))).first()[0] or 0
+    most = max(1, min(most, ARCHIVE // (longest + 1000)))
     records(captures, id_col, url_col, payload_col, date, least_bytes).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
@@ -138,12 +143,11 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{path}: the payload of {r['warc-record-id']} does not match its digest")
                 url = r.get("warc-target-uri")
                 run.append((url_key(url), re.sub(r"\D", "", r.get("warc-date", "")), bare(r["warc-record-id"]), path.as_py(), r["offset"], r["length"], r["warc-type"], url, stated, digest, bare(r.get("warc-refers-to"))))
-            run.sort(key=lambda e: (e[0], e[1], e[2] or "", e[4]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run, strict=True) if run else [()] * len(names), kinds, strict=True)], names)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index entries of all archives below path: of each archive a run, sorted by URL key, timestamp and id."""
+    """The index entries of all archives below path, in the order of each archive."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(_entries, ENTRY)
 
@@ -190,13 +194,13 @@ class LoserTree:
 
 def _merge(names: list[str]):
     def key(e):
-        return e[0], e[1], e[2] or ""
+        return e[0], e[1], e[2] or "", e[3], e[4]
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: dict[str, list] = {}
+        runs: dict[int, list] = {}
         for batch in batches:
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-                runs.setdefault(row[3], []).append(row)
+            for *row, run in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+                runs.setdefault(run, []).append(tuple(row))
         parts = [runs[r] for r in sorted(runs)]
         for part in parts:  # a part keeps its run's order; if an exchange did not, it is restored
             if any(key(a) > key(b) for a, b in zip(part, part[1:], strict=False)):
@@ -209,12 +213,14 @@ def _merge(names: list[str]):
 
 
 def merge_index(entries: DataFrame, per_range: int = RANGE) -> DataFrame:
-    """All entries in one order: by range_no and, within, position. Equal keys keep the order of their archives; an
+    """All entries in one order: by range_no and, within, position. Equal keys are in the order of archive and offset; an
     empty index stays empty. A range holds about per_range entries, which is what a task keeps in memory."""
-    entries = staged(entries, "index")
-    ranges = max(1, -(-entries.count() // per_range))
-    dealt = entries.repartitionByRange(ranges, "url_key", "timestamp", "record_id")
-    return dealt.mapInPandas(_merge(entries.columns), f"{ENTRY}, range_no int, position long")
+    names = entries.columns
+    keys = F.coalesce("record_id", F.lit(""))
+    runs = staged(entries.withColumn("_run", F.spark_partition_id()).sortWithinPartitions("url_key", "timestamp", keys, "run", "offset"), "runs")
+    ranges = max(1, -(-runs.count() // per_range))
+    dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", keys)
+    return dealt.select(*names, "_run").mapInPandas(_merge(names), f"{ENTRY}, range_no int, position long")
 
 
 def capture_history(captures: DataFrame, id_col: str, url_col: str, payload_col: str, date: Column, least_bytes: int = 0) -> DataFrame:
