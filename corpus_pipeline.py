@@ -26,22 +26,26 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays: that with the most code points, then the smallest id. Null and blank
+    texts are equal to each other. Of rows that repeat in id and text one stays, by the hash of its other columns."""
     return exact_dedup.deduplicate(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of at least 80 % of their five-word shingles join, the one with the smallest id stays."""
+    """Of documents that links of at least 80 % of their five-word shingles join, the one with the smallest id stays. Texts
+    without words have no links and stay, as do rows with a null id; rows that share an id stay or go together."""
     return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of MIX_SHARE of the tokens by the probabilities that rake sources, languages and topics to their targets."""
+    """A sample of MIX_SHARE of the tokens by the probabilities that rake sources, languages and topics to their targets.
+    Null sources and languages are values of their own, a null id is one key, texts without words go."""
     return mixing.sample(docs, queries.mix_columns(), queries.mix_tokens(), queries.MIX_POWERS, F.col("doc_id"), share=MIX_SHARE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training windows; ids are left in digest form."""
+    """The pieces of the training windows; ids are left in digest form. Null and empty texts are the end token alone, null
+    ids and repeated rows documents of their own."""
     pieces = packing.pack(docs, *queries.vocabulary())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -56,6 +60,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. An empty table gives none; columns that documents has besides are carried to the last stage,
+    whatever their names."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
