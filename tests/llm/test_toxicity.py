@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
+
+import zstandard
 from pyspark.sql import functions as F
 
 from tests.twins import TESTDATA
@@ -40,3 +44,26 @@ def test_a_missing_class_gives_the_prior_and_an_empty_table_no_rows(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels)).first().score < 0.01
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
     assert toxicity.score(docs, toxicity.fit(none, labels)).agg(F.count("score")).first()[0] == 1
+
+
+def test_window_gains_are_those_of_plain_compression():
+    """The figures of a text, from windows cut and compressed one by one with fresh compressors."""
+    deal = random.Random(4)
+    words = [f"{deal.choice('bcdfg')}a{deal.choice('lmnrst')}{deal.choice('eio')}{i % 7}" for i in range(200)]
+    model = toxicity.fit_rows([" ".join(deal.choices(words, k=60)) + " vilebad horrid" for _ in range(60)], [" ".join(deal.choices(words, k=60)) for _ in range(120)], 0.3)
+
+    def length(window: bytes, content: bytes) -> int:
+        settings = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=2 * toxicity.WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
+        found = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=found, compression_params=settings).compress(window))
+
+    for text in ["", "one", "A vilebad word " * 40, " ".join(deal.choices(words, k=300)), "x" * 5000, " ".join(deal.choices(words, k=50)) + " horrid vilebad é"]:
+        parts, now = [], []
+        for w in text.lower().encode().split():
+            for piece in [w[i : i + toxicity.LONGEST] for i in range(0, len(w), toxicity.LONGEST)]:
+                now.append(piece)
+                if sum(len(x) + 1 for x in now) >= toxicity.WINDOW:
+                    parts, now = [*parts, now], []
+        gains = sorted((length(b" " + b" ".join(p) + b" ", model.ordinary) - length(b" " + b" ".join(p) + b" ", model.toxic) for p in [*parts, *([now] if now else [])]), reverse=True)
+        want = (gains[0], sum(gains[:3]), sum(g > 2 for g in gains) / len(gains), math.log(len(gains))) if gains else (0, 0, 0, 0)
+        assert toxicity.figures(model, text) == tuple(map(float, want))

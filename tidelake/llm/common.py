@@ -18,10 +18,14 @@ _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where spark.checkpoint.dir is unset (tests in one
-    process), a temporary folder is made and set."""
+    """The folder that the driver and all executors share. Where spark.checkpoint.dir is unset, a temporary folder is made
+    and set if the session is local (tests in one process); on a cluster no executor would see another's, so it is an
+    error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidelake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
