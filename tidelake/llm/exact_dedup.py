@@ -76,9 +76,12 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phi:
     wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("code_points") == F.col("most"))
     hot = digests.join(F.broadcast(heavy), "digest").withColumn("wins", wins)
     columns = ["id", "digest", "code_points", "keep_id", "group_size", "kept"]
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("id"))
     of_hot = hot.where(~F.col("wins")).withColumn("kept", F.lit(False)).select(columns)
-    hot_winners = hot.where("wins").withColumn("kept", nth == 1).select(columns)
+    # repeated rows that would all win are counted where they are read; one of the first place that has any is kept
+    won = staged(hot.where("wins").groupBy(*columns[:-1], F.spark_partition_id().alias("place")).agg(F.count("*").cast("int").alias("n")), "winners")
+    firsts = won.groupBy("digest").agg(F.min("place").alias("first"))
+    won = won.join(F.broadcast(firsts), "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), "n")))
+    hot_winners = won.withColumn("kept", (F.col("nth") == 1) & (F.col("place") == F.col("first"))).select(columns)
     group = Window.partitionBy("digest")
     best = group.orderBy(F.col("code_points").desc(), F.col("id").asc_nulls_last())
     rest = (
